@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, line_dedup
+from maskspark.llm import bpe, licenses, line_dedup, mixing, pseudonyms
 from maskspark.llm.shared import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.with_copies(docs, mixing.source_plan(docs))
+    taken = (F.col("copies") * F.col("__size")).cast("long").alias("taken")
+    return rows.select(F.col("doc_id").cast("long"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
@@ -19,8 +31,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_id", "license_digest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_line_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op2_mixing, op4_pseudonyms, op8_line_dedup, op9_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
