@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, licenses, line_dedup, mixing, pseudonyms
+from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms
 from maskspark.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
@@ -36,7 +40,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_pseudonyms, op8_line_dedup, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op2_mixing, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
