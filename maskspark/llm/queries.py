@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms
+from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, repeats
 from maskspark.llm.shared import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,7 +44,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op2_mixing, op3_repeats, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -63,10 +63,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Odd multipliers of the 1st, 2nd, ... word of a window.
-_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) % 2**64 | 1) for i in range(64)]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -74,6 +70,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Odd multipliers without structure, of the 1st, 2nd, ... word of a window.
+_FACTORS = [np.uint64(xxhash.xxh3_64_intdigest(str(i).encode()) | 1) for i in range(64)]
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all windows of `width` words in a row; empty if there are fewer words."""
     n = len(hashes) - width + 1
