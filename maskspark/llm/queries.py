@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, repeats
+from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats
 from maskspark.llm.shared import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = mixing.with_copies(docs, mixing.source_plan(docs))
@@ -44,7 +48,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_repeats, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
