@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats
+from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, token_files
 from maskspark.llm.shared import table
 
 
@@ -30,6 +30,12 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), folder)
+    return token_files.read(spark, folder)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_pseudonyms, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_pseudonyms, op5_token_files, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
