@@ -211,3 +211,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
     return own.join(of_class, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the smallest id; same columns.
+
+    Rows of one id stay or go together. A document without words, or without an id where the group has no other, stays.
+    """
+    groups = near_duplicates(docs, threshold, width, id_col, text_col)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")

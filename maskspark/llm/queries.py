@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, token_files
+from maskspark.llm import bpe, forest, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, token_files
 from maskspark.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
@@ -54,7 +58,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_pseudonyms, op5_token_files, op6_ngram_jaccard, op8_line_dedup, op9_bpe, op10_licenses)}
+    found = (
+        op1_quality, op2_mixing, op3_repeats, op4_pseudonyms, op5_token_files,
+        op6_ngram_jaccard, op7_embedding_forest, op8_line_dedup, op9_bpe, op10_licenses,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
