@@ -26,7 +26,7 @@ def redacted_name(path: str) -> str:
 def mask_files(spark: SparkSession, path: str, cfg: MaskConfig = MaskConfig()) -> DataFrame:
     """(path, out_path, text, and what mask_documents adds)."""
     files = mask_documents(read(spark, path), cfg=cfg)
-    return files.withColumn("out_path", F.regexp_replace("path", r"(\.[^./]*)?$", ".redacted$1"))
+    return files.withColumn("out_path", F.regexp_replace("path", r"^(.*?)(\.[^./]*)?$", "$1.redacted$2"))
 
 
 def report(masked: DataFrame) -> DataFrame:

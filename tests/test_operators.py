@@ -1,0 +1,157 @@
+import io
+import json
+import zipfile
+
+import pytest
+
+from maskspark.config import MaskConfig
+from maskspark.functions.masking import Masker, Session
+from maskspark.operators import audit, documents, requests, restoring, sessions
+from maskspark.plans.queries import QUERIES, SQL
+from maskspark.sources import docx, texts
+from maskspark.streaming import restoring as streams
+
+
+def test_mask_documents(spark):
+    df = spark.createDataFrame([(1, "a@b.org"), (2, None), (3, ""), (4, "plain")], "id int, text string")
+    got = {r.id: r for r in documents.mask_documents(df).collect()}
+    assert got[1].text == "[REDACTED_EMAIL_1]" and got[1].mask_counts == {"email": 1} and got[1].mask_changed
+    assert got[2].text is None and not got[2].mask_changed and got[3].text == "" and not got[4].mask_changed
+    assert documents.mask_documents(df.where("id > 9")).count() == 0
+    refused = spark.createDataFrame([("x" * (4 * 1024 * 1024 + 1),)], "text string")
+    row = documents.mask_documents(refused).first()
+    assert row.text is None and row.mask_error
+    assert documents.mask_documents(refused, cfg=MaskConfig(fail_closed=False)).selectExpr("length(text) n").first().n > 4 * 1024 * 1024
+
+
+def test_sessions(spark):
+    df = spark.createDataFrame([("s", 2, "c@d.org a@b.org"), ("s", 1, "a@b.org"), ("t", 1, "c@d.org"), (None, 1, "x@y.org"), ("t", 2, None)], "sid string, seq int, text string")
+    got = {(r.sid, r.seq): r.text for r in sessions.mask_sessions(df, "sid", ["seq"]).collect()}
+    assert got == {("s", 1): "[REDACTED_EMAIL_1]", ("s", 2): "[REDACTED_EMAIL_2] [REDACTED_EMAIL_1]", ("t", 1): "[REDACTED_EMAIL_1]", (None, 1): "[REDACTED_EMAIL_1]", ("t", 2): None}
+    mapping = sessions.session_mapping(df, "sid", ["seq"])
+    assert {(r.session_id, r.value, r.n) for r in mapping.collect()} == {("s", "a@b.org", 1), ("s", "c@d.org", 2), ("t", "c@d.org", 1), ("__default__", "x@y.org", 1)}
+    masked = sessions.mask_sessions(df, "sid", ["seq"]).select("sid", "seq", "text")
+    for back in (restoring.restore(masked, mapping, "sid"), restoring.restore_relational(masked, mapping, ["sid", "seq"], "sid")):
+        assert {(r.sid, r.seq): r.text for r in back.collect()}[("s", 2)] == "c@d.org a@b.org"
+    single = sessions.mask_sessions(df, "sid", ["seq"], cfg=MaskConfig(persist_mapping=False))
+    assert {(r.sid, r.seq): r.text for r in single.collect()}[("s", 2)] == "[REDACTED_EMAIL_1] [REDACTED_EMAIL_2]"
+
+
+def _one(request, **changes):
+    return requests.mask_one(json.dumps(request), Masker(MaskConfig(**changes)), Session())
+
+
+def test_requests():
+    image = {"messages": [{"role": "user", "content": [{"type": "image", "data": "x"}]}]}
+    assert _one(image)[1] == "masked" and _one(image)[5]["dropped"] == 1
+    assert _one(image, non_text_policy="block")[1] == "blocked" and _one(image, non_text_policy="allow")[1] == "blocked"
+    raw = _one(image, non_text_policy="allow", allow_raw_media=True)
+    assert raw[1] == "clean" and raw[5]["raw"] == 1
+    assert _one({"x": 1})[1] == "error" and _one({"messages": [{"content": [{"type": "tool-result", "content": 3}]}]})[1] == "error"
+    nested = {"messages": [{"content": [{"type": "tool-result", "content": [{"type": "text", "text": "a@b.org"}]}, {"type": "tool-call", "arguments": {"to": ["c@d.org"]}}]}], "note": "a@b.org"}
+    out, decision, _, fields, found, _ = _one(nested)
+    assert decision == "masked" and fields == 3 and found == {"email": 3} and "c@d.org" not in out
+    deep: dict = {"a": "a@b.org"}
+    for _ in range(14):
+        deep = {"a": deep}
+    assert _one({"messages": [], "extra": deep})[1] == "error" and _one({"messages": [], "extra": deep}, strict_unknown=False)[1] == "clean"
+    assert _one({"messages": [], "sessionId": "s"})[1] == "masked"  # the session's id alone is dropped
+    tools = {"messages": [], "tools": [{"description": "ask a@b.org", "parameters": {"d": "a@b.org"}}]}
+    assert _one(tools)[3] == 2 and _one(tools, redact_tool_meta=False)[1] == "clean"
+
+
+def test_base64():
+    import base64
+
+    text = base64.b64encode(("mail a@b.org " * 8).encode()).decode()
+    block = {"messages": [{"content": [{"type": "file", "data": "data:text/plain;BASE64," + text, "name": "x"}]}]}
+    out, decision, *_ , media = _one(block, preflight_base64=True)
+    data = json.loads(out)["messages"][0]["content"][0]["data"]
+    assert decision == "masked" and media["preflight"] == 1 and b"[REDACTED_EMAIL_1]" in base64.b64decode(data.split(",")[1])
+    binary = base64.b64encode(bytes(range(256))).decode()
+    assert _one({"messages": [{"content": [{"type": "file", "data": binary}]}]}, preflight_base64=True)[5]["dropped"] == 1
+    assert requests.base64_payload("a" * 63) is None and requests.base64_payload("data:x,abc" + "a" * 80) is None
+
+
+def test_audit(spark, tmp_path):
+    lines = spark.createDataFrame([('{"decision":"masked","ts":"2024-01-01T00:00:00Z","counts":{"email":2}}',), ("null",), ("{",), ("",)], "value string")
+    parsed = audit.parse(lines)
+    assert parsed.count() == 3 and audit.totals(parsed).first().broken_lines == 2
+    assert audit.since(parsed, "2025-01-01T00:00:00Z").count() == 0 and audit.since(parsed, "soon").count() == 3
+    done = documents.mask_documents(spark.createDataFrame([("a@b.org",), ("x",)], "text string"))
+    audit.write(audit.entries(done), str(tmp_path / "log"))
+    audit.write(audit.entries(done), str(tmp_path / "log"))
+    again = spark.read.json(str(tmp_path / "log"))
+    assert again.count() == 4 and {r.decision for r in again.collect()} == {"masked", "clean"}
+
+
+def _docx(body: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/media/image1.png", b"\x89PNG")
+    return out.getvalue()
+
+
+def test_docx(spark):
+    data = _docx("<w:p/><w:p><w:r><w:t>mail a@b.org &amp; $1</w:t></w:r></w:p><w:p><w:r><w:t>a@</w:t></w:r><w:r><w:t>b.org</w:t></w:r></w:p>")
+    files = spark.createDataFrame([("x.docx", bytearray(data)), ("bad.docx", bytearray(b"no"))], "path string, content binary")
+    rows = docx.text_nodes(files).orderBy("path", "paragraph", "node").collect()
+    assert [r.text for r in rows if r.path == "x.docx"] == ["mail a@b.org & $1", "a@", "b.org"] and [r for r in rows if r.error][0].path == "bad.docx"
+    done = {r.path: r for r in docx.mask_files(files, whole_paragraphs=True).collect()}
+    assert done["bad.docx"].error and done["x.docx"].mask_counts == {"email": 2}
+    assert [t for *_, t in docx.nodes(bytes(done["x.docx"].content))] == ["mail [REDACTED_EMAIL_1] & $1", "[REDACTED_EMAIL_1]", ""]
+    assert dict(docx.parts(bytes(done["x.docx"].content)))["word/media/image1.png"] == b"\x89PNG"
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("a@b.org\r\nx\r\n".encode())
+    row = texts.mask_files(spark, str(tmp_path / "a.txt")).first()
+    assert row.text == "[REDACTED_EMAIL_1]\r\nx\r\n" and row.out_path.endswith("a.redacted.txt")
+    assert texts.report(texts.mask_files(spark, str(tmp_path / "a.txt"))).collect()[0].n == 1
+    assert texts.preview(spark.createDataFrame([("a@b.org",)], "text string")).first().restored == "a@b.org"
+
+
+def test_chunks():
+    values = {"[REDACTED_EMAIL_1]": "a@b.org"}
+    rows = [(1, "text-delta", "to [REDAC"), (2, "text-delta", "TED_EMAIL_1] or [A"), (3, "finish", None)]
+    out, pending, _ = streams.restore_chunks(iter(rows), values, "", "text-delta")
+    assert [(r[1], r[2]) for r in out] == [("text-delta", "to "), ("text-delta", "a@b.org or "), ("text-delta", "[A"), ("finish", None)] and pending == ""
+    out, *_ = streams.restore_chunks(iter([(1, "block-end", "[REDACTED_EMAIL_1] [REDACTED_EMAIL_2]")]), values, "[RED", "text-delta")
+    assert out[0][2:] == ("a@b.org [REDACTED_EMAIL_2]", 1)
+
+
+@pytest.mark.parametrize("kind", ["restore", "mask"])
+def test_streams(spark, tmp_path, kind):
+    source, out = str(tmp_path / "in"), []
+    schema = "session_id string, chunk_seq long, type string, text string" if kind == "restore" else "session_id string, seq long, text string"
+    batches = (
+        [[("s", 1, "text-delta", "to [REDAC")], [("s", 2, "text-delta", "TED_EMAIL_1] x"), ("s", 3, "finish", None)]]
+        if kind == "restore" else [[("s", 1, "a@b.org")], [("s", 2, "c@d.org a@b.org")]]
+    )
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    mapping = spark.createDataFrame([("s", "email", "a@b.org", 1, "[REDACTED_EMAIL_1]")], sessions.MAPPING)
+    done = streams.restore_stream(stream, mapping) if kind == "restore" else streams.mask_stream(stream)
+    query = done.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    seq = "chunk_seq" if kind == "restore" else "seq"
+    assert [r.text for r in sorted(out, key=lambda r: r[seq])] == (["to ", "a@b.org x", None] if kind == "restore" else ["[REDACTED_EMAIL_1]", "[REDACTED_EMAIL_2] [REDACTED_EMAIL_1]"])
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_against_sql(spark, name):
+    import duckdb
+
+    base = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "labels", "conversations", "pages", "events"):
+        db.sql(f"create view {t} as select * from '{base}/{t}.parquet'")
+    df = QUERIES[name](spark, base)
+    expected = db.sql(SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(expected.columns) == columns
+    rows = [tuple(dict(zip(expected.columns, r))[c] for c in columns) for r in expected.fetchall()]
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(rows, key=repr)
