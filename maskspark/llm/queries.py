@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskspark.llm import bpe, forest, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, token_files
+from maskspark.llm import bpe, forest, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, sql, token_files
 from maskspark.llm.shared import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": sql.OP2, "op3_repeats": sql.OP3, "op6_ngram_jaccard": sql.OP6, "op8_line_dedup": sql.OP8, "op10_licenses": sql.OP10}
