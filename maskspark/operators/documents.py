@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,8 +110,3 @@ def longest_run(text: Column) -> Column:
     """Length of the longest run of ASCII characters without white space."""
     runs = F.regexp_extract_all(text, F.lit(r"[\x00-\x7f&&[^ \t\n\r\f]]+"), 0)
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
-
-
-def arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
