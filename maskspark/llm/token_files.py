@@ -141,6 +141,16 @@ _LINE = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= )")
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One a worker, which keeps its pieces from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """The library's encoding of whole texts; pieces that it always encodes alike are encoded once.
 
@@ -187,7 +197,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _written(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, encoder, names, ids, held, place, seq = zstandard.ZstdDecompressor(), Encoder(path), [], [], 0, None, 0
+        z, own, names, ids, held, place, seq = zstandard.ZstdDecompressor(), encoder(path), [], [], 0, None, 0
         end = np.array([END], "<u4").tobytes()
 
         def part() -> pa.RecordBatch:
@@ -200,7 +210,7 @@ def _written(path: str):
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 texts = [z.decompress(p).decode() for p in rows.column(2).to_pylist()]
-                for p, name, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), encoder.encode(texts)):
+                for p, name, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), own.encode(texts)):
                     if names and (p != place or held >= PART):
                         yield part()
                         names, ids, held, seq = [], [], 0, seq + 1
