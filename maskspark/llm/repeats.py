@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import WordHashes, as_bytes, cut, mixed, partitions, windows
+from maskspark.llm.shared import WordHashes, as_bytes, cut, mixed, partitions, release, windows
 
 #: Words of a window, and of an anchor: any WINDOW words hold a whole block of ANCHOR words, at whatever place they start.
 WINDOW = 13
@@ -44,12 +44,12 @@ def _texts(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1)
 class _Packer:
     """Gathers (hash, position) of documents and deals them to n blocks by hash.
 
-    A packed array: 5 bytes of each hash (what is left of 64 bits once the block is known is never compared across
-    blocks), then 3 bytes of each position with its lowest bit for `flag`; positions of 2^23 or more go in a wide form.
+    `width` bytes of each hash are sent: 4 of anchors, whose false hits cost a comparison of whole windows and no more,
+    all 8 of whole windows.
     """
 
-    def __init__(self, n: int):
-        self.n, self.docs, self.hashes, self.places, self.held = n, [], [], [], 0
+    def __init__(self, n: int, width: int):
+        self.n, self.width, self.docs, self.hashes, self.places, self.held = n, width, [], [], [], 0
 
     def add(self, doc_id: int, tag: int, hashes: np.ndarray, places: np.ndarray) -> None:
         self.docs.append((doc_id, tag, len(hashes)))
@@ -69,25 +69,26 @@ class _Packer:
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
                 own, counts = np.unique(doc[s:e], return_counts=True)
                 head = np.array([(*self.docs[d][:2], c) for d, c in zip(own.tolist(), counts.tolist())], _DOC)
-                rows.append((int(block[s]), head.tobytes(), pack(hashes[s:e], places[s:e])))
+                rows.append((int(block[s]), head.tobytes(), pack(hashes[s:e], places[s:e], self.width)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
         self.docs, self.hashes, self.places, self.held = [], [], [], 0
 
 
-def pack(hashes: np.ndarray, places: np.ndarray) -> bytes:
-    wide = 8 if len(places) and int(places.max()) >= 1 << 24 else 3
-    h = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    p = places.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
-    return bytes([wide]) + h.tobytes() + p.tobytes()
+def pack(hashes: np.ndarray, places: np.ndarray, width: int) -> bytes:
+    """Low bytes of hashes, then of places, as few as the largest place needs."""
+    most = int(places.max()) if len(places) else 0
+    wide = 2 if most < 1 << 16 else 3 if most < 1 << 24 else 8
+    columns = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes() for x, n in ((hashes, width), (places, wide))]
+    return bytes([width, wide]) + b"".join(columns)
 
 
 def unpack(items: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = items[0]
-    n = (len(items) - 1) // (5 + wide)
+    width, wide = items[:2]
+    n = (len(items) - 2) // (width + wide)
     out = []
-    for at, width in ((1, 5), (1 + 5 * n, wide)):
+    for at, size in ((2, width), (2 + width * n, wide)):
         x = np.zeros((n, 8), np.uint8)
-        x[:, :width] = np.frombuffer(items, np.uint8, n * width, at).reshape(n, width)
+        x[:, :size] = np.frombuffer(items, np.uint8, n * size, at).reshape(n, size)
         out.append(x.view("<u8").ravel())
     return out[0], out[1]
 
@@ -96,7 +97,7 @@ def _probes(n: int):
     """All windows of ANCHOR words; flagged where they are a block of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = WordHashes(), _Packer(n)
+        words, out = WordHashes(), _Packer(n, 4)
         for _, ids, texts in _texts(batches):
             for doc_id, text in zip(ids.tolist(), texts):
                 split = text.split()
@@ -115,7 +116,7 @@ def _candidates(n: int):
     """All windows of WINDOW words that hold a hit; the last column has the places of the hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = WordHashes(), _Packer(n)
+        words, out = WordHashes(), _Packer(n, 8)
         for batch, ids, texts in _texts(batches):
             for doc_id, text, hits in zip(ids.tolist(), texts, batch.column(2).to_pylist()):
                 found = windows(words.of(text.split()), WINDOW)
@@ -199,8 +200,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = partitions(docs.sparkSession)
     packed = "block int, docs binary, items binary"
     hits = cut(_by_block(slim.mapInArrow(_probes(n), packed), n, whole=False))
+    release(docs.sparkSession)  # the packed probes, before the texts are dealt out
     tagged = slim.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(hits, ["doc_id", "tag"])
-    return cut(_by_block(tagged.select("doc_id", "text", "places").mapInArrow(_candidates(n), packed), n, whole=True))
+    found = cut(_by_block(tagged.select("doc_id", "text", "places").mapInArrow(_candidates(n), packed), n, whole=True))
+    del tagged
+    release(docs.sparkSession)
+    return found
 
 
 def removed(n_words: int, places: list[bytes] | None) -> np.ndarray:
@@ -223,7 +228,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     words, as empty ones. A null id is larger than any other; rows of one id do not remove each other's words. Texts are
     taken whole (up to 2^32 words). Columns n_words and n_removed that are there already are replaced. No rows give none.
 
-    Windows are compared by 40 bits of hash within a block of hashes that further bits choose, all from one 64-bit hash.
+    Windows are compared by 64-bit hashes.
     """
     places = repeated_windows(docs, id_col, text_col).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "tag", "places")])
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]

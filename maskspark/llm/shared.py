@@ -45,9 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner see what nothing refers to any more. Called after cut(), also what the caller had given to it.
+
+    The scheduler refers to its last job until the next one comes: a job of one row takes that place first.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 class WordHashes(dict):
