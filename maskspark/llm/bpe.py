@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskspark.llm.shared import positional
+
 #: Distinct words that a worker remembers before it starts afresh: bounds its memory, has no influence on results.
 CACHE = 500_000
 
@@ -117,7 +119,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pairs = PairIndex(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.pieces = {i: t for t, i in (model["vocab"] | self.special).items()}
+        self.pieces = pieces(path)
         # by word: ids in decimal and pieces, each joined by a space
         self.written: dict[str, str] = {}
         self.read: dict[str, str] = {}
@@ -170,6 +172,18 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+_pieces: dict[str, dict[int, str]] = {}
+
+
+def pieces(path: str) -> dict[int, str]:
+    """The text of each id, special tokens included; one a worker."""
+    if path not in _pieces:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _pieces[path] = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+    return _pieces[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -180,10 +194,10 @@ def _by_text(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[tuple[pa
     """Batches of rows with the words of each text (the last column), all of them learned."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        for at in range(0, batch.num_rows, 512):
-            cuts = [own.cut(t) for t in texts.slice(at, 512).to_pylist()]
+        for at in range(0, batch.num_rows, 256):
+            cuts = [own.cut(t) for t in texts.slice(at, 256).to_pylist()]
             own.learn(set().union(*cuts))
-            yield batch.slice(at, 512), cuts
+            yield batch.slice(at, 256), cuts
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -204,7 +218,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*names, out_col])
 
-    wide = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    wide = docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return wide.mapInArrow(run, f"{fields}, `{out_col}` array<int>")
 
@@ -215,12 +229,14 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
     names = [c for c in encoded.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        read = pieces(path)
         for batch in batches:
-            texts = [None if ids is None else own.decode(ids) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, out_col])
+            for at in range(0, batch.num_rows, 128):  # ids as Python numbers take ten times their room
+                rows = batch.slice(at, 128)
+                texts = [None if ids is None else " ".join([read[i] for i in ids]) for ids in rows.column(rows.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names=[*names, out_col])
 
-    wide = encoded.select(*names, F.col(ids_col).alias("__ids"))
+    wide = encoded.select(*positional(encoded, names), F.col(f"`{ids_col}`").alias("ids"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
     return wide.mapInArrow(run, f"{fields}, `{out_col}` string")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskspark.llm.components import components
-from maskspark.llm.shared import WordHashes, as_bytes, cut, partitions, signed, windows
+from maskspark.llm.shared import WordHashes, as_bytes, cut, partitions, signed, unused, windows
 
 #: Similarity as a fraction, and words in a shingle.
 THRESHOLD = (80, 100)
@@ -219,5 +219,6 @@ def keep_one(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int
     Rows of one id stay or go together. A document without words, or without an id where the group has no other, stays.
     """
     groups = near_duplicates(docs, threshold, width, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    name = unused(docs, "stay")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import as_bytes, cut, partitions, signed
+from maskspark.llm.shared import as_bytes, cut, partitions, positional, signed
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -158,7 +158,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     return lists.mapInArrow(_to_bitmaps, "doc_id long, tag long, upto int, n_dropped long, keep binary")
 
 
-def _applied(text_at: int, upto_at: int, keep_at: int):
+def _applied(text_at: int, upto_at: int, keep_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             upto, keep = batch.column(upto_at).to_pylist(), batch.column(keep_at).to_pylist()
@@ -169,7 +169,7 @@ def _applied(text_at: int, upto_at: int, keep_at: int):
                     lines, bits = texts[i].split("\n"), _unpacked(keep[i], upto[i])
                     texts[i] = "\n".join([x for x, stays in zip(lines, bits) if stays] + lines[upto[i] :])
                 batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
-            yield batch.drop_columns([batch.schema.names[upto_at], batch.schema.names[keep_at]])
+            yield batch.drop_columns([batch.schema.names[upto_at], batch.schema.names[keep_at]]).rename_columns(names)
 
     return run
 
@@ -184,9 +184,10 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, same columns, with the texts that the bitmaps leave."""
-    wide = with_bitmaps(docs, bitmaps, id_col, text_col).drop("__n_dropped")
-    names = wide.columns
-    return wide.mapInArrow(_applied(names.index(text_col), names.index("__upto"), names.index("__keep")), docs.schema)
+    names = docs.columns
+    id_at, text_at = names.index(id_col), names.index(text_col)
+    wide = with_bitmaps(docs.select(*positional(docs, names)), bitmaps, f"c{id_at}", f"c{text_at}").drop("__n_dropped")
+    return wide.mapInArrow(_applied(text_at, wide.columns.index("__upto"), wide.columns.index("__keep"), names), docs.schema)
 
 
 def digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

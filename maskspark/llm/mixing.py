@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskspark.llm.shared import WORD, cut
+from maskspark.llm.shared import WORD, cut, positional
 
 #: Weights of the sources in code point order, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -119,5 +119,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
     Columns of any name pass through. No rows give no rows.
     """
     plan = source_plan(docs, weights, max_rate, seed, id_col, source_col, text_col)
-    rows = with_copies(docs, plan, seed, id_col, source_col, text_col, "__copies").where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = {c: f"c{docs.columns.index(c)}" for c in (id_col, source_col, text_col)}
+    moved = docs.select(*positional(docs, docs.columns))
+    rows = with_copies(moved, plan, seed, at[id_col], at[source_col], at[text_col]).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

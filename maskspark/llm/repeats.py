@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import WordHashes, as_bytes, cut, mixed, partitions, release, windows
+from maskspark.llm.shared import WordHashes, as_bytes, cut, mixed, partitions, positional, release, windows
 
 #: Words of a window, and of an anchor: any WINDOW words hold a whole block of ANCHOR words, at whatever place they start.
 WINDOW = 13
@@ -232,8 +232,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     """
     places = repeated_windows(docs, id_col, text_col).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "tag", "places")])
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text")) if digest else docs.select(*names, F.col(text_col).cast("string").alias("__text"))
-    key = F.coalesce(F.col("doc_id" if digest else id_col).cast("long"), F.lit(int(_NULL)))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text")) if digest else docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    key = F.coalesce(F.col("doc_id" if digest else f"c{names.index(id_col)}").cast("long"), F.lit(int(_NULL)))
     on = (key == F.col("__doc_id")) & (F.crc32(F.col("__text").cast("binary")) == F.col("__tag"))
     wide = base.join(places, on, "left").drop("__doc_id", "__tag")
     text_at = -1 if digest else names.index(text_col)
@@ -259,4 +259,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     if digest:
         return wide.select("doc_id", "__text", "__places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return wide.select(*names, "__text", "__places").mapInArrow(run, f"{fields}, n_words long, n_removed long")
+    return wide.select(*[f"c{i}" for i in range(len(names))], "__text", "__places").mapInArrow(run, f"{fields}, n_words long, n_removed long")

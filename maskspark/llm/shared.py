@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return in it. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +60,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def positional(df: DataFrame, names: list[str]) -> list:
+    """The columns of these names as c0, c1, ...: what is added to them then cannot clash."""
+    return [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash, computed once for each word a worker meets."""
 
