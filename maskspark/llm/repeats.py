@@ -134,10 +134,10 @@ def _candidates(n: int):
     return run
 
 
-_PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
+_PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.list_(pa.binary()))])
 
 
-def _judge(whole: bool):
+def _judge(n: int, whole: bool):
     """Over all packed arrays of a block: which places go on. One partition holds one block or several.
 
     Of anchors (whole = false) those of an index block that another document has too, or that equal one; of whole
@@ -160,16 +160,22 @@ def _judge(whole: bool):
             anchored = np.maximum.reduceat((places[order] & np.uint64(1)).astype(np.int8), starts)
             out = ((anchored > 0) & (np.maximum.reduceat(ids, starts) > least))[run]
         at = order[out]
-        at.sort()
+        to = (mixed(heads["doc_id"].astype(np.uint64) ^ heads["tag"]) % np.uint64(n)).astype(np.int32)
+        at = at[np.lexsort((at, to[doc[at]]))]
         place = (places[at] if whole else places[at] >> np.uint64(1)).astype("<u4")
         of = doc[at]
-        if len(at):
-            cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            rows = heads[of[cuts]]
-            bounds = [*cuts.tolist(), len(at)]
+        if len(at):  # a row for each block of documents, not for each document
+            firsts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            own = heads[of[firsts]]
+            own["count"] = np.diff(np.r_[firsts, len(at)])
+            target = to[of[firsts]]
+            cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+            ends = [*cuts[1:].tolist(), len(own)]
+            starts = [*firsts.tolist(), len(at)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"]), pa.array(rows["tag"].astype(np.int64)), pa.array([place[s:e].tobytes() for s, e in zip(bounds, bounds[1:])], pa.binary())], schema=_PLACES
-            )
+                [pa.array(target[cuts]), pa.array([own[s:e].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary()),
+                 pa.array([place[starts[s] : starts[e]].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary())], schema=_PACKED
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
@@ -186,9 +192,36 @@ def _judge(whole: bool):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all packed places of a block of documents, sorted by block: a row a document."""
+
+    def rows(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        heads = np.concatenate([np.frombuffer(d, _DOC) for d, _ in parts])
+        places = np.concatenate([np.frombuffer(i, "<u4") for _, i in parts])
+        names, tags = np.repeat(heads["doc_id"], heads["count"]), np.repeat(heads["tag"], heads["count"])
+        order = np.lexsort((places, tags, names))
+        names, tags, places = names[order], tags[order], places[order]
+        firsts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (tags[1:] != tags[:-1])])
+        ends = [*firsts[1:].tolist(), len(places)]
+        lists = [[places[s:e].tobytes()] for s, e in zip(firsts.tolist(), ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(names[firsts]), pa.array(tags[firsts].astype(np.int64)), pa.array(lists, pa.list_(pa.binary()))], schema=_PLACES)
+
+    block, parts = None, []
+    for batch in batches:
+        for b, docs, items in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if b != block and parts:
+                yield from rows(parts)
+                parts = []
+            block = b
+            parts.append((docs, items))
+    if parts:
+        yield from rows(parts)
+
+
 def _by_block(packed: DataFrame, n: int, whole: bool) -> DataFrame:
     dealt = packed.repartitionById(n, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(_judge(whole), "doc_id long, tag long, places binary").groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+    found = dealt.mapInArrow(_judge(n, whole), "block int, docs binary, items binary").repartitionById(n, "block").sortWithinPartitions("block")
+    return found.mapInArrow(_gathered, "doc_id long, tag long, places array<binary>")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
