@@ -19,15 +19,36 @@ LONGEST = 64
 _YEARS, _FIRST, _A, _B = (1800, 2199), "1800-01-01", 189, 773
 
 # One alternative a kind, tried in this order at each place. No value starts or ends inside a longer run of its own signs.
+# A phone has 8 to 15 digits (looked back at from its end), so that it gives back groups beyond them; it doesn't go on
+# with a group after a space that opens another value, unless it would be none without. Digits in groups are taken as one
+# run of any length, whose values _in_run() finds.
 _OPEN, _SHUT = r"(?<![0-9A-Za-z])(?<![0-9][.\-/])", r"(?![0-9A-Za-z])(?![.\-/][0-9])"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})"
+_SSN, _IPV4 = r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+#: Groupings of cards; the long ones have more digits than a phone can have after its country code.
+_LONG_CARD = "|".join(f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}(?:{s}[0-9]{{3}})?(?![0-9])|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}}(?![0-9])" for s in (" ", "-"))
+_CARD = "|".join([_LONG_CARD, "[0-9]{13,19}(?![0-9])", *(f"[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4}}(?![0-9])|[0-9]{{4}}{s}[0-9]{{3}}{s}[0-9]{{3}}{s}[0-9]{{3}}(?![0-9])" for s in (" ", "-"))])
+
+
+def _after(least: int) -> str:
+    """Here end `least` to 15 digits of a phone."""
+    return r"(?<=\+" + r"[ .\-()]{0,2}[0-9]" * least + r"(?:[ .\-()]{0,2}[0-9])?" * (15 - least) + ")"
+
+
+# four groups of four may be the end of the phone and the start of a card: a fifth tells, or that the phone is long enough
+_NO_CARD = rf"(?! (?:{_CARD})(?! [0-9]{{4}}(?![0-9])))(?!{_after(10)} (?:{_CARD}))"
+_NO_LONG = rf"(?! (?:{_LONG_CARD})(?! [0-9]{{4}}(?![0-9])))"
+_NO_OTHER = rf"(?! (?:{_DATE}|{_SSN}|{_IPV4})(?![0-9])){_NO_CARD}"
+_PHONE_OPEN, _PHONE_SHUT = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{2,4}\))?", r"(?![0-9A-Za-z])" + _after(8)
+_GROUP = r"[ .\-]?[0-9]{2,5}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{2,4}\))?(?:[ .\-]?[0-9]{2,5}){2,5}(?![0-9A-Za-z])",
-    "ipv4": _OPEN + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _SHUT,
-    "date": _OPEN + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})" + _SHUT,
-    "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
-    "card": _OPEN + r"[0-9](?:[ \-]?[0-9]){12,18}" + _SHUT,
+    "phone": _PHONE_OPEN + rf"{_NO_LONG}{_GROUP}(?:{_NO_OTHER}{_GROUP}){{1,4}}" + _PHONE_SHUT + "|" + _PHONE_OPEN + rf"{_NO_LONG}{_GROUP}(?:{_NO_CARD}{_GROUP}){{1,4}}" + _PHONE_SHUT + r"(?![.\-/][0-9])",
+    "ipv4": _OPEN + _IPV4 + _SHUT,
+    "date": _OPEN + _DATE + _SHUT,
+    "ssn": _OPEN + _SSN + _SHUT,
+    "digits": _OPEN + r"[0-9][0-9 \-]{11,}[0-9]" + _SHUT + r"(?![A-Za-z0-9._%+\-]{0,64}+@)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -178,6 +199,57 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
+def _in_run(run: Column, key: str) -> Column:
+    """(text, n): a run of digits, blanks and dashes with its n values replaced.
+
+    From the left, each group of digits opens the longest card in one of the usual groupings, date or social security number
+    that is valid. Of what is left between them, 13 to 19 digits with a right check digit are a card in any grouping.
+    """
+    tokens = F.regexp_extract_all(run, F.lit("[0-9]+|[ -]+"), 0)
+
+    def at(i: Column, tokens: Column) -> Column:
+        """(j, v) of the longest value from token i to token j, or null."""
+
+        def upto(j: Column) -> Column:
+            t = F.array_join(F.slice(tokens, i + 1, j - i + 1), "")
+            apart = ~F.coalesce((F.get(tokens, i - 1) == "-") | (F.get(tokens, j + 1) == "-"), F.lit(False))
+            small = F.when(apart & t.rlike(f"^{_SSN}$"), _ssn(t, key)).when(apart & t.rlike(f"^{_DATE}$"), _date(t, key))
+            return F.struct(j.alias("j"), F.when(t.rlike(f"^(?:{_CARD})$"), _card(t, key)).otherwise(small).alias("v"))
+
+        # nine tokens: five groups
+        ends = F.sequence(F.least(i + 8, F.size(tokens) - 1), i, F.lit(-1))
+        return F.get(F.filter(F.transform(ends, upto), lambda c: c["v"].isNotNull()), 0)
+
+    def part(text: Column, done: bool) -> Column:
+        return F.struct(text.alias("text"), F.lit(done).alias("done"))
+
+    def step(s: Column, i: Column, tokens: Column) -> Column:
+        def taken(hit: Column) -> Column:
+            new = F.concat(s["parts"], F.array(part(s["clear"], False), part(hit["v"], True)))
+            return F.when(hit.isNotNull(), F.struct((hit["j"] + 1).alias("next"), F.lit("").alias("clear"), new.alias("parts"))).otherwise(
+                F.struct(s["next"].alias("next"), F.concat(s["clear"], F.get(tokens, i)).alias("clear"), s["parts"].alias("parts")))
+
+        opens = F.get(tokens, i).rlike("^[0-9]")
+        return F.when(i < s["next"], s).otherwise(F.transform(F.array(F.when(opens, at(i, tokens))), taken)[0])
+
+    def read(tokens: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("clear"), F.array().cast("array<struct<text:string,done:boolean>>").alias("parts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, lambda s, i: step(s, i, tokens), lambda s: F.concat(s["parts"], F.array(part(s["clear"], False))))
+
+    def free(p: Column) -> Column:
+        new = F.when(~p["done"] & F.length(F.regexp_replace(p["text"], "[^0-9]", "")).between(13, 19), _card(p["text"], key))
+        return F.transform(F.array(new), lambda v: F.struct(F.coalesce(v, p["text"]).alias("text"), (p["done"] | v.isNotNull()).alias("done")))[0]
+
+    whole = lambda parts: F.struct(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.size(F.filter(parts, lambda p: p["done"])).alias("n"))
+    return F.transform(F.transform(F.transform(F.array(tokens), read), lambda parts: F.transform(parts, free)), whole)[0]
+
+
+def _replaced(m: Column, key: str) -> Column:
+    """(text, n): a match of PATTERN with its n values replaced."""
+    one = F.transform(F.array(pseudonym(m, key)), lambda v: F.struct(F.coalesce(v, m).alias("text"), F.when(v.isNotNull(), 1).otherwise(0).alias("n")))[0]
+    return F.when(m.rlike("^[0-9][0-9 -]{11,}[0-9]$") & ~m.rlike("^([0-9]{32}|[0-9]{40}|[0-9]{64})$"), _in_run(m, key)).otherwise(one)
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_pseudonyms") -> DataFrame:
     """docs with the personal values in `text_col` replaced, and `count_col` long: how many were.
 
@@ -189,9 +261,9 @@ def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_c
     inner = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
     text = F.col(f"__c{names.index(text_col)}").cast("string")
     wide = inner.withColumn("__found", F.regexp_extract_all(text, F.lit(PATTERN), 0))
-    wide = wide.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    wide = wide.withColumn("__new", F.transform("__found", lambda m: _replaced(m, key)))
     pieces = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.get("__found", i), F.lit("")))), "")
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("__new", i)["text"], F.lit("")))), "")
     out = F.when(F.size("__found") > 0, joined).otherwise(text)
-    count = F.coalesce(F.size(F.filter("__new", lambda x: x.isNotNull())), F.lit(0)).cast("long")
+    count = F.coalesce(F.aggregate("__new", F.lit(0), lambda n, x: n + x["n"]), F.lit(0)).cast("long")
     return wide.select(*[(out if c == text_col else F.col(f"__c{i}")).alias(c) for i, c in enumerate(names)], count.alias(count_col))

@@ -212,6 +212,33 @@ def test_pseudonyms(spark, clashing):
     assert pseudonyms.pseudonymize(df, "other").where("doc_id = 2").first().text != got[2].text
 
 
+def test_pseudonyms_side_by_side(spark):
+    """Values next to other digits are found: the parts that must go, those that must stay, and how many values there are."""
+    cases = [
+        ("+1 (826) 555-4081 190.137.223.204", ["555-4081", "190.137.223.204"], ["+1 ("], 2),
+        ("+1 843 555 7672 170.106.47.218", ["555 7672", "170.106.47.218"], ["+1 "], 2),
+        ("4111 1111 1111 1111 123", ["4111 1111"], [" 123"], 1),
+        ("12 4111-1111-1111-1111 9", ["1111-1111"], ["12 ", " 9"], 1),
+        ("4111111111111111 5500005555555559 378282246310005", ["4111111111111111", "5500005555555559", "378282246310005"], [], 3),
+        ("4111 1111 1111 1112 4111 1111 1111 1111 77", [], ["4111 1111 1111 1112 ", " 77"], 1),
+        ("+1 212 555 0123 4111 1111 1111 1111", ["555 0123", "4111 1111"], ["+1 "], 2),
+        ("+86 138 1234 5678 4111 1111 1111 1111 123", ["1234 5678", "4111 1111"], ["+86 ", " 123"], 2),
+        ("+1 4111 1111 1111 1111", ["4111 1111"], ["+1 "], 1),
+        ("+1 212 555 0123 4111 1111 1111 1111 0128", ["555 0123", "4111 1111"], [" 0128"], 2),
+        ("+45 12345678 01/02/2024", ["12345678", "01/02/2024"], [], 2),
+        ("1234 5678 2024-03-01 123-45-6789", ["2024-03-01", "123-45-6789"], ["1234 5678 "], 2),
+        ("411 1111 1111 1111 1", ["1111 1111"], [], 1),
+        ("1234 5678 9012 3456 77@mail.org", ["77@"], ["1234 5678 9012 3456 "], 1),
+        ("+41 22 912-45-6789", ["912-45-6789"], ["+41"], 1),
+        ("+1-212-555-0123-1", ["212-555-0123"], ["-1"], 1),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id int, text string")
+    for r in pseudonyms.pseudonymize(df, "k").collect():
+        text, gone, stays, n = cases[r.doc_id]
+        assert r.n_pseudonyms == n and len(r.text) >= len(text) - 12, (text, r.text)
+        assert not any(x in r.text for x in gone) and all(x in r.text for x in stays), (text, r.text)
+
+
 def test_one_to_one(spark):
     """No two values of a format get one pseudonym: all days of the domain, and all short numbers."""
     days = spark.range(146_097).select(pseudonyms._number(F.col("id"), pseudonyms._A, pseudonyms._B, "k", "d").alias("n"))
