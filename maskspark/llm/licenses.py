@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,41 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: Titles that short licences bear, besides the one above or none.
+_TITLES = {
+    "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)"),
+    "ISC": ("The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License", "BSD License"),
+    "BSD-3-Clause": ("The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"),
+}
+# not (a), (b), (c): normalized() takes a line that starts with (c) for a copyright line, which leaves BSD-3 the text of BSD-2
+_NUMBERINGS = (("1.", "2.", "3."), ("(i)", "(ii)", "(iii)"))
+
+
+def _variants(license_id: str, text: str) -> list[tuple[str, str]]:
+    """A short licence without a title and with others, its conditions numbered in the usual ways."""
+    title, body = text.split("\n", 1)
+    bodies = [body]
+    if license_id.startswith("BSD"):
+        head, *conditions, terms = body.split("\n")
+        bodies += ["\n".join([head, *(f"{n} {c}" for n, c in zip(ns, conditions)), terms]) for ns in _NUMBERINGS]
+    return [(license_id, f"{t}\n{b}".strip()) for t in (title, "", *_TITLES[license_id]) for b in bodies]
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """The files of texts/, named by licence, and each without what follows its terms."""
+    out = []
+    for file in sorted(resources.files("maskspark.llm").joinpath("texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            license_id, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+            terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+            out += [(license_id, text), *([(license_id, terms + end), (license_id, terms)] if end else [])]
+    return out
+
+
+KNOWN += [v for i, t in KNOWN if i in _TITLES and "\n" in t for v in _variants(i, t)[1:]] + _full_texts()
+
 
 def normalized(text: Column) -> Column:
     """Lower case, without copyright lines and punctuation, equivalent spellings made one, single spaces between words.

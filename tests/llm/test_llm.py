@@ -1,6 +1,7 @@
 """Operators of maskspark.llm against brute force, SQL and round trips, on small frames with awkward rows."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -457,6 +458,21 @@ def test_licenses(spark, docs, clashing):
     assert licenses.scan(spark.createDataFrame([("use it AS you like",)], "text string"), own).first().license_id == "house"
 
 
+def test_full_licenses(spark):
+    """Texts as they are found in files: numbered conditions, other titles or none, whole long licences."""
+    by = {i: t for i, t in reversed(licenses.KNOWN[:5])}
+    bsd = lambda k, ns: "\n".join(f"{n} {x}".strip() for n, x in zip(ns, by[k].split("\n")[1:]))
+    folder = pathlib.Path(licenses.__file__).parent / "texts"
+    cases = [("BSD-2-Clause", "Copyright (c) 2021, A\n" + bsd("BSD-2-Clause", ["", "1.", "2.", ""])), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd("BSD-3-Clause", ["", "1.", "2.", "3.", ""]))]
+    cases += [("BSD-3-Clause", bsd("BSD-3-Clause", ["", "(i)", "(ii)", "(iii)", ""])), ("MIT", by["MIT"].split("\n", 1)[1]), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 B\n" + by["MIT"].split("\n", 1)[1])]
+    cases += [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    cases += [("Apache-2.0", "\n".join(x.strip() for x in (folder / "Apache-2.0.txt").read_text().split("END OF TERMS")[0].splitlines()))]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {c[0] for c in cases}
+    df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "doc_id int, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(df).collect()}
+    assert got == {i: c[0] for i, c in enumerate(cases)}
+
+
 # ---- all
 
 
