@@ -103,6 +103,25 @@ def test_quality(docs, clashing, rows):
     assert quality.judge(docs.where("false")).count() == 0 and quality.keep_good(docs.where("false")).count() == 0
 
 
+def test_single_outliers(spark):
+    """In an even group, a document that is far off in one statistic alone is rejected."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    even = lambda n=40: "\n".join(" ".join(word() for _ in range(5)) for _ in range(n // 5))
+    passage = " ".join(word() for _ in range(9))
+    odd = {
+        1000: even(4000),
+        1001: " ".join(word() * 4 for _ in range(40)),
+        1002: even().replace("a", "#").replace("b", "$"),
+        1003: "\n".join(f"{' '.join(word() for _ in range(5))}\nyes" for _ in range(8)),  # half of the lines, no window of five words
+        1004: " ".join([even(40), passage, even(40), passage]),  # 18 of 98 words
+    }
+    rows = [(i, even(), "en", "s", 0) for i in range(200)] + [(i, t, "en", "s", 0) for i, t in odd.items()]
+    judged = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(judged[i].base_failed for i in odd) and all(judged[i].kept for i in range(200))
+    assert [i for i in odd if judged[i].kept] == []
+
+
 def test_determinant(spark):
     """The estimate of a contaminated cloud is that of its clean part."""
     rng = np.random.default_rng(3)
