@@ -21,7 +21,7 @@ CASES = [
     ("被告（孙丽）之父孙大勇", "被告（[REDACTED_NAME_1]）之父孙大勇"),
     ("被告孙丽之父孙大勇。", "被告[REDACTED_NAME_1]之父[REDACTED_NAME_2]。"),
     ("被告方陈刚辩称。", "被告方[REDACTED_NAME_1]辩称。"),
-    ("原告钱进诉被告赵亮买卖合同纠纷一案。", "原告[REDACTED_NAME_1]诉被告[REDACTED_NAME_2]买卖合同纠纷一案。"),
+    ("原告钱进诉被告赵亮买卖合同纠纷。", "原告[REDACTED_NAME_1]诉被告[REDACTED_NAME_2]买卖合同纠纷。"),
     ("审判长 欧阳修文", "审判长 [REDACTED_NAME_1]"),
     ("联系人赵亮。后来赵亮未到庭。", "联系人[REDACTED_NAME_1]。后来[REDACTED_NAME_1]未到庭。"),
     ("委托杭州云栖网络科技有限公司办理", "委托[REDACTED_COMPANY_1]办理"),
