@@ -63,8 +63,15 @@ def category_totals(audit: DataFrame) -> DataFrame:
     return audit.where("not broken").select(F.explode("counts").alias("cat", "c")).groupBy("cat").agg(F.sum("c").alias("n"))
 
 
-def top_categories(audit: DataFrame, most: int = 8) -> DataFrame:
-    return category_totals(audit).orderBy(F.desc("n"), "cat").limit(most)
+def top_categories(audit: DataFrame, most: int = 8, order_cols: tuple[str, ...] | None = None) -> DataFrame:
+    """The most frequent categories; of equal ones that which appears first, by order_cols and then by place in its entry.
+
+    Without order_cols the order is that of line_no where there is one, else of ts.
+    """
+    order_cols = order_cols or (("line_no",) if "line_no" in audit.columns else ("ts",))
+    of = audit.where("not broken").select(*order_cols, F.posexplode(F.map_entries("counts")).alias("place", "x"))
+    sums = of.groupBy(F.col("x.key").alias("cat")).agg(F.sum("x.value").alias("n"), F.min(F.struct(*order_cols, "place")).alias("first"))
+    return sums.orderBy(F.desc("n"), "first").limit(most).select("cat", "n")
 
 
 def raw_media(audit: DataFrame, order_cols: list[str], most: int = 10) -> DataFrame:

@@ -16,11 +16,14 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from maskspark.config import MaskConfig
 from maskspark.functions.masking import Hit, Masker, Session, TooLong, counts, restore
 from maskspark.operators.documents import masker
-from maskspark.operators.sessions import _sorted
+from maskspark.operators.names import fields as fields_of
+from maskspark.operators.names import unused
+from maskspark.operators.sessions import dealt
 
 DEEPEST_JSON = 12
 #: Base64 payloads: shortest, longest, longest decoded, and how deep they are looked for.
@@ -197,20 +200,66 @@ class RequestMasker:
         return out
 
 
+#: What a value may be refused with; none of it ends a job.
+ERRORS = (Refused, TooLong, ValueError, AttributeError, TypeError, KeyError, RecursionError)
+
+
+def reason(error: Exception) -> str:
+    """Why a value was refused: a code that stays the same, and what was wrong, without the value."""
+    code = "TOO_DEEP" if isinstance(error, RecursionError) else "TOO_LONG" if isinstance(error, TooLong) else "REFUSED" if isinstance(error, Refused) else "MALFORMED"
+    return f"{code}: {short_error(str(error))}" if code in ("TOO_LONG", "REFUSED") else code
+
+
+_PATH = re.compile(r"(?:[A-Za-z]:\\|/)[^\s'\"]+")
+
+
+def short_error(text: str) -> str:
+    """An error text without paths of files, 200 characters of it."""
+    return _PATH.sub("<path>", text)[:200]
+
+
+def mask_json(df: DataFrame, json_col: str, cfg: MaskConfig = MaskConfig()) -> DataFrame:
+    """df with every string value of a JSON column masked, each row a session of its own, and mask_error.
+
+    Keys stay; a value that nothing changes stays as it is written. Null stays null. What is no JSON, is nested too deeply or
+    holds a run that is too long has an error, and is null under cfg.fail_closed. No rows give no rows.
+    """
+
+    @F.pandas_udf("text string, error string")
+    def masked(values: pd.Series) -> pd.DataFrame:
+        own = masker(cfg)
+
+        def one(text: str | None) -> tuple[str | None, str | None]:
+            if text is None or not cfg.enabled:
+                return text, None
+            try:
+                before = json.loads(text)
+                after = RequestMasker(own, Session()).json(before)
+                return text if after == before else json.dumps(after, ensure_ascii=False), None
+            except ERRORS as e:
+                return None if cfg.fail_closed else text, reason(e)
+
+        return pd.DataFrame([one(v) for v in values], columns=["text", "error"])
+
+    done = unused(df, "masked")
+    wide = df.withColumn(done, masked(F.col(f"`{json_col}`").cast("string")))
+    return wide.withColumn(json_col, F.col(f"{done}.text")).withColumn("mask_error", F.col(f"{done}.error")).drop(done)
+
+
 RESULT = "request string, decision string, reason string, fields long, mask_counts map<string,int>, media struct<dropped:long,preflight:long,raw:long>"
 
 
-def mask_one(text: str | None, own: Masker, session: Session) -> tuple:
-    """A row of RESULT for a request as JSON text."""
+def mask_one(text: str | None, own: Masker, session: Session, kind: str | None = "request") -> tuple:
+    """A row of RESULT for a request, or another event, as JSON text."""
     cfg = own.cfg
     if not cfg.enabled:
         return text, "clean", None, 0, {}, {"dropped": 0, "preflight": 0, "raw": 0}
     work = RequestMasker(own, session)
     try:
         before = json.loads(text or "null")
-        after = work.request(before)
-    except (Refused, TooLong, ValueError, AttributeError, TypeError, KeyError) as e:
-        return None if cfg.fail_closed else text, "error", str(e), work.out.fields, counts(work.out.hits), None
+        after = work.request(before) if kind == "request" else work.blocks(before) if kind in ("user", "tool_result") else work.json(before)
+    except ERRORS as e:
+        return None if cfg.fail_closed else text, "error", reason(e), work.out.fields, counts(work.out.hits), None
     o = work.out
     media = {"dropped": o.dropped, "preflight": o.preflight, "raw": o.raw}
     if o.blocked:
@@ -222,24 +271,43 @@ def mask_one(text: str | None, own: Masker, session: Session) -> tuple:
 def mask_requests(df: DataFrame, session_col: str, order_cols: list[str], request_col: str = "request", cfg: MaskConfig = MaskConfig()) -> DataFrame:
     """df without its request, plus RESULT: the masked request, the decision (masked, clean, blocked or error) and its counts.
 
-    A request that cannot be looked at is an error, and null under cfg.fail_closed. Numbers that it used stay used.
+    A request that cannot be looked at is an error, and null under cfg.fail_closed. Numbers that it used stay used. Columns of
+    df that RESULT names are left out.
     """
-    rest = [f for f in df.schema if f.name != request_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return _masked(df, session_col, order_cols, request_col, None, cfg)
+
+
+def mask_log(df: DataFrame, session_col: str, order_cols: list[str], kind_col: str = "kind", content_col: str = "content", cfg: MaskConfig = MaskConfig()) -> DataFrame:
+    """As mask_requests(), for the events of sessions in one order, so that requests and what is logged share their numbers.
+
+    By kind, content is as JSON: a `request`; the content of a `user` message or of a `tool_result`, a string or a list of
+    blocks under the media policy; or, of a `sub_dispatch` and of any other kind, a value of which every string is masked.
+    """
+    return _masked(df, session_col, order_cols, content_col, kind_col, cfg)
+
+
+def _masked(df: DataFrame, session_col: str, order_cols: list[str], request_col: str, kind_col: str | None, cfg: MaskConfig) -> DataFrame:
     names = [x.split()[0] for x in ("request", "decision", "reason", "fields", "mask_counts", "media")]
+    out_names = [request_col if n == "request" else n for n in names]
+    left_out = {request_col, *out_names}
+    rest = [f.name for f in df.schema if f.name not in left_out]
+    fields = fields_of(df, tuple(left_out))
+    result = f"`{request_col}` {RESULT.removeprefix('request ')}"
+    rows_of, key_col = dealt(df, session_col, order_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, name, session = masker(cfg), None, Session()
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["__session"], pdf[request_col]):
+            kinds = pdf[kind_col] if kind_col else ["request"] * len(pdf)
+            for key, text, kind in zip(pdf[key_col], pdf[request_col], kinds):
                 if key != name or not cfg.persist_mapping:
                     name, session = key, Session()
-                rows.append(mask_one(text, own, session))
-            out = pdf[[f.name for f in rest]].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=names)], axis=1)
+                rows.append(mask_one(text, own, session, kind))
+            out = pdf[rest].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame(rows, columns=out_names)], axis=1)
 
-    return _sorted(df, session_col, order_cols).mapInPandas(run, f"{fields}, {RESULT}" if fields else RESULT)
+    return rows_of.mapInPandas(run, f"{fields}, {result}" if fields else result)
 
 
 def restore_json(value: Any, values: dict[str, str]) -> Any:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +39,38 @@ def report(masked: DataFrame) -> DataFrame:
 
 def preview(df: DataFrame, text_col: str = "text", cfg: MaskConfig = MaskConfig()) -> DataFrame:
     """df with masked and restored beside the text, and the counts."""
-    from maskspark.operators.documents import entities_column
+    from maskspark.operators.documents import mask_column
+    from maskspark.operators.names import unused
     from maskspark.operators.restoring import restored
 
-    wide = df.withColumn("__found", entities_column(F.col(text_col), cfg)).withColumn("__m", F.col(text_col))
-    wide = mask_documents(wide, "__m", cfg, "masked").drop("__m")
-    pairs = F.array_distinct(F.transform("__found", lambda x: F.struct(x["placeholder"], x["value"])))
-    return wide.withColumn("restored", restored(F.col("masked"), F.map_from_entries(pairs))).drop("__found")
+    name = unused(df, "preview")
+    wide = df.withColumn(name, mask_column(F.col(f"`{text_col}`"), cfg))
+    pairs = F.map_from_entries(F.array_distinct(F.transform(f"{name}.found", lambda x: F.struct(x["placeholder"], x["value"]))))
+    return (
+        wide.withColumn("masked", F.col(f"{name}.text")).withColumn("mask_counts", F.col(f"{name}.counts"))
+        .withColumn("mask_changed", F.coalesce(f"{name}.changed", F.lit(False))).withColumn("mask_error", F.col(f"{name}.error"))
+        .withColumn("restored", restored(F.col("masked"), pairs)).drop(name)
+    )
+
+
+def write(masked: DataFrame) -> DataFrame:
+    """(path, out_path, written, error) of masked files, each written beside its input; a path that is there is left alone.
+
+    Runs where rows are: for folders that all executors share. Through other stores write `text` with a Spark writer.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, out, text in zip(pdf["path"], pdf["out_path"], pdf["text"]):
+                try:
+                    if text is None:
+                        raise ValueError("refused")
+                    with open(unquote(urlsplit(out).path), "x", encoding="utf-8", newline="") as f:  # never over a file
+                        f.write(text)
+                    rows.append((path, out, True, None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, out, False, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "out_path", "written", "error"])
+
+    return masked.select("path", "out_path", "text").mapInPandas(run, "path string, out_path string, written boolean, error string")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskspark.config import MaskConfig
 from maskspark.functions.masking import Session, counts, misses, restore, split_tail
-from maskspark.operators.documents import masker
+from maskspark.operators.documents import mask_cell, masker
 from maskspark.operators.sessions import DEFAULT_SESSION
 
 DELTAS = ("text-delta", "reasoning-delta")
@@ -44,9 +44,19 @@ def restore_chunks(rows: Iterator[tuple], values: dict[str, str], pending: str,
     return out, pending, kind
 
 
-def restore_stream(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
+#: For streams that never end: how long to keep the state of a session that has nothing new.
+TTL = 24 * 3600 * 1000
+
+
+def _timeout(ttl_ms: int | None) -> str:
+    """With a timeout, Spark runs batches without new data for ever, also under availableNow: so there is none unless asked for."""
+    return GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def restore_stream(chunks: DataFrame, mapping: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A stream (session_id, chunk_seq, type, text) restored by a static mapping table, as OUT.
 
+    With ttl_ms (TTL, say), what a session holds back for longer goes out as it is, without a chunk_seq, and its state goes.
     Chunks of a session are taken in order of chunk_seq within a batch; what arrives out of order across batches is
     restored as it comes. A session's values travel once a batch, joined on.
     """
@@ -56,6 +66,11 @@ def restore_stream(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, kind = state.get if state.exists else ("", "text-delta")
+        if state.hasTimedOut:
+            state.remove()
+            rows = [(key[0], None, kind, pending, misses(pending))] if pending else []
+            yield pd.DataFrame(rows, columns=["session_id", "chunk_seq", "type", "text", "misses"]).astype({"chunk_seq": "Int64"})
+            return
         pdf = pd.concat(list(frames)).sort_values("chunk_seq", kind="stable")
         known = pdf["__values"].dropna()
         values = json.loads(known.iloc[0]) if len(known) else {}
@@ -64,25 +79,37 @@ def restore_stream(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((pending, kind))
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session_id", "chunk_seq", "type", "text", "misses"])
 
-    return joined.groupBy("session_id").applyInPandasWithState(run, OUT, "pending string, kind string", "append", GroupStateTimeout.NoTimeout)
+    return joined.groupBy("session_id").applyInPandasWithState(run, OUT, "pending string, kind string", "append", _timeout(ttl_ms))
+
 
+def mask_stream(cells: DataFrame, cfg: MaskConfig = MaskConfig(), ttl_ms: int | None = None) -> DataFrame:
+    """A stream (session_id, seq, text) masked, with mask_counts and mask_error.
 
-def mask_stream(cells: DataFrame, cfg: MaskConfig = MaskConfig()) -> DataFrame:
-    """A stream (session_id, seq, text) masked; a session's numbers are state, bounded by the values a category keeps."""
+    A session's numbers are state, bounded by the values a category keeps; with ttl_ms (TTL, say), a session that has had
+    nothing for so long is forgotten and numbers afresh. A text that is refused has an error, and is null under cfg.fail_closed.
+    """
     keyed = cells.select(F.coalesce(F.col("session_id").cast("string"), F.lit(DEFAULT_SESSION)).alias("session_id"), F.col("seq").cast("long"), "text")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session = Session()
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             values, last = json.loads(state.get[0])
             session = Session(values, Counter(last))
         own, rows = masker(cfg), []
         for seq, text in pd.concat(list(frames)).sort_values("seq", kind="stable")[["seq", "text"]].itertuples(index=False):
-            hits: list = []
-            rows.append((key[0], seq, own.mask(text, session, hits) if text else text, counts(hits)))
+            out, hits, error = mask_cell(text, own, session)
+            rows.append((key[0], seq, out, counts(hits), error))
         state.update((json.dumps([session.values, session.last], ensure_ascii=False),))
-        yield pd.DataFrame(rows, columns=["session_id", "seq", "text", "mask_counts"])
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(rows, columns=["session_id", "seq", "text", "mask_counts", "mask_error"])
 
-    return keyed.groupBy("session_id").applyInPandasWithState(run, "session_id string, seq long, text string, mask_counts map<string,int>", "session string", "append", GroupStateTimeout.NoTimeout)
+    fields = "session_id string, seq long, text string, mask_counts map<string,int>, mask_error string"
+    return keyed.groupBy("session_id").applyInPandasWithState(run, fields, "session string", "append", _timeout(ttl_ms))

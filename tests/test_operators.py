@@ -60,6 +60,63 @@ def test_requests():
     assert _one(tools)[3] == 2 and _one(tools, redact_tool_meta=False)[1] == "clean"
 
 
+LONG = "x" * (4 * 1024 * 1024 + 1)
+
+
+def test_poison(spark):
+    """What cannot be looked at becomes an error row, on every path, and ends no job."""
+    deep = "[" * 100_000 + "]" * 100_000
+    got = _one({"messages": []}), requests.mask_one('{"messages": [], "extra": ' + deep + "}", Masker(MaskConfig()), Session())
+    assert got[1][1] == "error" and got[1][2] == "TOO_DEEP" and got[1][0] is None
+    rows = [(1, '{"a": "a@b.org", "n": 1}'), (2, None), (3, "{"), (4, deep), (5, '{"a": "' + LONG + '"}'), (6, '{"n":   1}')]
+    df = spark.createDataFrame(rows, "id int, `the json` string")
+    got = {r.id: (r["the json"], r.mask_error) for r in requests.mask_json(df, "the json").collect()}
+    assert got[1] == ('{"a": "[REDACTED_EMAIL_1]", "n": 1}', None) and got[2] == (None, None) and got[6] == ('{"n":   1}', None)
+    assert [got[i][0] for i in (3, 4, 5)] == [None] * 3 and got[3][1] == "MALFORMED" and got[4][1] == "TOO_DEEP" and got[5][1].startswith("TOO_LONG")
+    open_ = {r.id: r["the json"] for r in requests.mask_json(df, "the json", MaskConfig(fail_closed=False)).collect()}
+    assert open_[3] == "{" and open_[4] == deep
+    found = documents.detect_entities(spark.createDataFrame([(1, LONG), (2, "a@b.org"), (3, None)], "id int, text string")).collect()
+    assert [(r.id, r.value, r.error and r.error[:8]) for r in sorted(found)] == [(1, None, "TOO_LONG"), (2, "a@b.org", None)]
+    assert texts.preview(spark.createDataFrame([(LONG,)], "text string")).first().mask_error
+    assert requests.short_error("cannot read /srv/data/x.json: no") == "cannot read <path> no"
+
+
+def test_clashing(spark):
+    """Columns under the names that operators use, or with blanks in them, pass through."""
+    names = ["masked", "found", "session_key", "map_values", "map_session", "preview", "first", "my note"]
+    df = spark.createDataFrame([("s", 1, "a@b.org", *names), ("s", 2, None, *names)], "sid string, seq int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (documents.mask_documents(df), sessions.mask_sessions(df, "sid", ["seq"])):
+        assert [c for c in out.columns if c in names] == names and {tuple(r[n] for n in names) for r in out.collect()} == {tuple(names)}
+    assert documents.detect_entities(df).count() == 1
+    mapping = sessions.session_mapping(df, "sid", ["seq"])
+    masked = sessions.mask_sessions(df, "sid", ["seq"])
+    for back in (restoring.restore(masked, mapping, "sid"), restoring.restore_relational(masked, mapping, ["sid", "seq"], "sid")):
+        assert {(r.seq, r.text, r["my note"]) for r in back.collect()} == {(1, "a@b.org", "my note"), (2, None, "my note")}
+    wide = df.withColumn("request", documents.F.lit('{"messages": []}')).withColumn("fields", documents.F.lit(1))
+    assert {r["my note"] for r in requests.mask_requests(wide, "sid", ["seq"]).collect()} == {"my note"}
+
+
+def test_log(spark):
+    """Requests, messages and results of a session share its numbers, in the order of events."""
+    block = lambda t: [{"type": "text", "text": t}]
+    events = [
+        ("s", 1, "user", block("I am a@b.org")), ("s", 2, "request", {"messages": [{"role": "user", "content": "c@d.org"}]}), ("s", 3, "tool_result", [{"type": "tool-result", "content": "a@b.org c@d.org"}]),
+        ("s", 4, "sub_dispatch", {"to": ["e@f.org"], "n": 1}), ("t", 1, "user", "c@d.org"), ("t", 2, "user", 3), ("t", 3, None, {"x": None}),
+    ]
+    df = spark.createDataFrame([(s, i, k, json.dumps(c)) for s, i, k, c in events], "sid string, seq int, kind string, content string")
+    got = {(r.sid, r.seq): r for r in requests.mask_log(df, "sid", ["seq"]).collect()}
+    text = lambda s, i: got[s, i].content
+    assert "[REDACTED_EMAIL_1]" in text("s", 1) and "[REDACTED_EMAIL_2]" in text("s", 2) and "[REDACTED_EMAIL_1] [REDACTED_EMAIL_2]" in text("s", 3)
+    assert json.loads(text("s", 4)) == {"to": ["[REDACTED_EMAIL_3]"], "n": 1} and json.loads(text("t", 1)) == "[REDACTED_EMAIL_1]"
+    assert got["t", 2].decision == "error" and got["t", 3].decision == "clean" and got["s", 1].decision == "masked"
+
+
+def test_top_ties(spark):
+    lines = [(i, json.dumps({"decision": "masked", "counts": c})) for i, c in enumerate([{"phone": 1, "email": 1}, {"bank": 1, "key": 2}])]
+    parsed = audit.parse(spark.createDataFrame(lines, "line_no int, value string"))
+    assert [(r.cat, r.n) for r in audit.top_categories(parsed).collect()] == [("key", 2), ("phone", 1), ("email", 1), ("bank", 1)]
+
+
 def test_base64():
     import base64
 
@@ -108,7 +165,10 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("a@b.org\r\nx\r\n".encode())
     row = texts.mask_files(spark, str(tmp_path / "a.txt")).first()
     assert row.text == "[REDACTED_EMAIL_1]\r\nx\r\n" and row.out_path.endswith("a.redacted.txt")
-    assert texts.report(texts.mask_files(spark, str(tmp_path / "a.txt"))).collect()[0].n == 1
+    masked = texts.mask_files(spark, str(tmp_path / "a.txt"))
+    assert texts.report(masked).collect()[0].n == 1
+    assert texts.write(masked).first().written and (tmp_path / "a.redacted.txt").read_bytes() == b"[REDACTED_EMAIL_1]\r\nx\r\n"
+    assert not texts.write(masked).first().written  # a file that is there is left alone
     assert texts.preview(spark.createDataFrame([("a@b.org",)], "text string")).first().restored == "a@b.org"
 
 
@@ -141,13 +201,30 @@ def test_streams(spark, tmp_path, kind):
     assert [r.text for r in sorted(out, key=lambda r: r[seq])] == (["to ", "a@b.org x", None] if kind == "restore" else ["[REDACTED_EMAIL_1]", "[REDACTED_EMAIL_2] [REDACTED_EMAIL_1]"])
 
 
+def test_stream_timeout(spark, tmp_path):
+    """A session that has nothing new is forgotten, and what it held back goes out; a refused text has an error."""
+    source = str(tmp_path / "in")
+    put = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    schema = "session_id string, chunk_seq long, type string, text string"
+    put([("s", 1, "text-delta", "to [REDAC")], schema)
+    mapping = spark.createDataFrame([("s", "email", "a@b.org", 1, "[REDACTED_EMAIL_1]")], sessions.MAPPING)
+    out = []
+    done = streams.restore_stream(spark.readStream.schema(schema).parquet(source), mapping, ttl_ms=1000)
+    query = done.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
+    for _ in range(60):
+        if len(out) > 1 or query.awaitTermination(1):
+            break
+    query.stop()
+    assert [(r.chunk_seq, r.text) for r in out] == [(1, "to "), (None, "[REDAC")]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(spark, name):
     import duckdb
 
     base = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "pages", "events"):
+    for t in ("documents", "labels", "conversations", "pages", "events", "supplier", "customer"):
         db.sql(f"create view {t} as select * from '{base}/{t}.parquet'")
     df = QUERIES[name](spark, base)
     expected = db.sql(SQL[name])
