@@ -2,30 +2,31 @@
 
 A part (one row of the written table, its bytes in column `payload`) holds whole documents in ascending order of id:
 
-    magic "PFR1", then as little-endian u32: documents D, ids N, blocks B, bytes of the exception area
+    magic "PFR2", then as little-endian u32: documents D, ids N, blocks B, bytes of the exception area
     D times doc_id as i64, D times a null flag as u8, D times the number of ids as u32
-    B + 1 times the place of a block in the data area as u32: the block index
-    B times block minimum as u32, width as u8, number of exceptions as u16
+    B times a block's place in the data area as u32, its place in the exception area as u32, its minimum as u32, its
+    width as u8 and its number of exceptions as u16: the block index
     data area: for each block its BLOCK values less the minimum, the low `width` bits of each, packed
     exception area: for each block the places of its exceptions as u16, then their high bits as u32
 
-The width is chosen where PERCENTILE of a block's values fit; the few that don't are exceptions.
+The width is chosen where PERCENTILE of a block's values fit; the few that don't are exceptions. By the block index any
+block can be read without those before it.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from maskspark.llm.shared import as_bytes, checkpoint_dir, partitions
+from maskspark.llm.shared import checkpoint_dir, partitions
 
 BLOCK = 1024
 PERCENTILE = 0.9
@@ -33,7 +34,7 @@ PERCENTILE = 0.9
 END = 2
 #: Ids after which a part is closed, at the end of a document.
 PART = 1 << 20
-_MAGIC = b"PFR1"
+_MAGIC = b"PFR2"
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
@@ -58,9 +59,12 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[list[int], bytes, bytes, bytes]:
-    """Block starts, block heads, data area and exception area of an array of ids."""
-    starts, heads, data, patches = [0], [], [], []
+_BLOCK = np.dtype([("data", "<u4"), ("patch", "<u4"), ("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """Block index, data area and exception area of an array of ids."""
+    index, data, patches, at_data, at_patch = [], [], [], 0, 0
     for at in range(0, len(ids), BLOCK):
         block = ids[at : at + BLOCK].astype(np.uint32)
         low = block.min()
@@ -68,48 +72,63 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[int], bytes, bytes, bytes]:
         bits = _widths(rest)
         width = int(np.sort(bits)[min(len(bits) - 1, int(np.ceil(PERCENTILE * len(bits))) - 1)])
         out = np.flatnonzero(bits > width)
-        heads.append(np.array([(low, width, len(out))], np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])).tobytes())
+        index.append((at_data, at_patch, low, width, len(out)))
         data.append(_packed(rest, width))
         patches.append(out.astype("<u2").tobytes() + (rest[out] >> np.uint32(width)).astype("<u4").tobytes())
-        starts.append(starts[-1] + len(data[-1]))
-    return starts, b"".join(heads), b"".join(data), b"".join(patches)
+        at_data, at_patch = at_data + len(data[-1]), at_patch + len(patches[-1])
+    return np.array(index, _BLOCK), b"".join(data), b"".join(patches)
 
 
 def write_part(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    starts, heads, data, patches = encode_blocks(every)
+    index, data, patches = encode_blocks(every)
     return b"".join([
-        _MAGIC, np.array([len(ids), len(every), len(starts) - 1, len(patches)], "<u4").tobytes(),
+        _MAGIC, np.array([len(ids), len(every), len(index), len(patches)], "<u4").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(),
-        np.array([len(x) for x in ids], "<u4").tobytes(), np.array(starts, "<u4").tobytes(), heads, data, patches,
+        np.array([len(x) for x in ids], "<u4").tobytes(), index.tobytes(), data, patches,
     ])
 
 
+class Part:
+    """A part of token ids, its documents and block index read; blocks are read as they are asked for."""
+
+    def __init__(self, payload: bytes):
+        if payload[:4] != _MAGIC:
+            raise ValueError("no part of token ids")
+        docs, self.total, blocks, patched = np.frombuffer(payload, "<u4", 4, 4).tolist()
+        names, null = np.frombuffer(payload, "<i8", docs, 20), np.frombuffer(payload, "u1", docs, 20 + 8 * docs)
+        self.doc_ids = [None if x else int(d) for d, x in zip(names, null)]
+        self.counts = np.frombuffer(payload, "<u4", docs, 20 + 9 * docs)
+        self.index = np.frombuffer(payload, _BLOCK, blocks, 20 + 13 * docs)
+        self.payload, self.data, self.patch = payload, 20 + 13 * docs + blocks * _BLOCK.itemsize, len(payload) - patched
+
+    def block(self, b: int) -> np.ndarray:
+        """The ids of block b, read by the index alone."""
+        head, n = self.index[b], min(BLOCK, self.total - b * BLOCK)
+        width, e = int(head["width"]), int(head["exceptions"])
+        start = self.data + int(head["data"])
+        values = _unpacked(self.payload[start : start + (n * width + 7) // 8], n, width)
+        if e:
+            at = self.patch + int(head["patch"])
+            values[np.frombuffer(self.payload, "<u2", e, at)] |= np.frombuffer(self.payload, "<u4", e, at + 2 * e) << np.uint32(width)
+        return values + head["low"]
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        """The ids from place `start` to before place `end` of the part."""
+        first = start // BLOCK
+        found = [self.block(b) for b in range(first, -(-end // BLOCK))] if end > start else []
+        return np.concatenate(found)[start - first * BLOCK : end - first * BLOCK] if found else np.empty(0, np.uint32)
+
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the k-th document."""
+        start = int(self.counts[:k].sum(dtype=np.int64))
+        return self.ids(start, start + int(self.counts[k]))
+
+
 def read_part(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, numbers of ids, and all ids of a part."""
-    if payload[:4] != _MAGIC:
-        raise ValueError("no part of token ids")
-    docs, total, blocks, patched = np.frombuffer(payload, "<u4", 4, 4).tolist()
-    at = 20
-    take = lambda kind, n: (np.frombuffer(payload, kind, n, at), at + n * np.dtype(kind).itemsize)
-    names, at = take("<i8", docs)
-    null, at = take("u1", docs)
-    counts, at = take("<u4", docs)
-    starts, at = take("<u4", blocks + 1)
-    heads, at = take([("low", "<u4"), ("width", "u1"), ("n", "<u2")], blocks)
-    data, patch = at, len(payload) - patched
-    out = np.empty(total, np.uint32)
-    for b in range(blocks):
-        n = min(BLOCK, total - b * BLOCK)
-        low, width, exceptions = heads[b]
-        values = _unpacked(payload[data + starts[b] : data + starts[b + 1]], n, int(width))
-        if exceptions:
-            e = int(exceptions)
-            places = np.frombuffer(payload, "<u2", e, patch)
-            values[places] |= np.frombuffer(payload, "<u4", e, patch + 2 * e) << np.uint32(width)
-            patch += 6 * e
-        out[b * BLOCK : b * BLOCK + n] = values + low
-    return [None if x else int(d) for d, x in zip(names, null)], counts, out
+    part = Part(payload)
+    return part.doc_ids, part.counts, part.ids(0, part.total)
 
 
 def default_path() -> str:
@@ -118,8 +137,8 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Distinct chunks of text that a worker remembers before it starts afresh.
-CACHE = 800_000
+#: Distinct pieces of text that a worker remembers before it starts afresh.
+CACHE = 600_000
 _libraries: dict[str, object] = {}
 
 
@@ -135,12 +154,19 @@ def _library(path: str):
 
 #: Texts of these characters are cut into pieces here, others only before a space that follows a printable character.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-#: The pieces of the vocabulary's pattern, for texts of those characters.
+#: The pieces of the byte-level pattern, for texts of those characters.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-_LINE = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= )")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Characters up to U+00FF as byte-level vocabularies write them: a printable character for each byte of their UTF-8."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_LETTERS = _byte_letters()
 _encoders: dict[str, Encoder] = {}
 
 
@@ -154,50 +180,48 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """The library's encoding of whole texts; pieces that it always encodes alike are encoded once.
 
-    The library merges within the pieces of the vocabulary's pattern only; no piece goes over the border between a
-    printable ASCII character or a Latin-1 letter and a space.
+    The library merges within the pieces of the byte-level pattern only; no piece goes over the border between a
+    printable ASCII character or a Latin-1 letter and a space. A vocabulary file of another make is left to the library.
     """
 
     def __init__(self, path: str):
         self.library, self.known = _library(path), {}
-        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-
-    def cut(self, text: str) -> list[str]:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cutter, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_piece = (
+            model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback", "unk_token"))
+            and spec.get("normalizer") is None and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+            and all(t.startswith("<|") and " " not in t for t in self.specials) and not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word"))
+        )
+
+    def cut(self, text: str) -> tuple[bool, list[str]]:
+        """Whether the text is plain, and its pieces: those of the pattern if it is, else runs of them."""
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            return _PIECES.findall(text)
-        return _CUT.split(text) if text else []
+            return True, _PIECES.findall(text)
+        return False, _CUT.split(text) if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        cuts = [self.cut(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*cuts) - self.known.keys()
-        lines = [p for p in new if _LINE.fullmatch(p) and "<|" not in p]
-        # pieces without a line feed are encoded as lines of one text, in which a line feed is always a token of its own
-        for at in range(0, len(lines), 5_000):
-            some = lines[at : at + 5_000]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.feed).tolist()
-            for piece, s, e in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
-                self.known[piece] = ids[s + 1 : e].tobytes()
-        rest = list(new.difference(lines))
+        if not self.by_piece:
+            return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch(texts, add_special_tokens=False)]
+        cuts, known = [self.cut(t) for t in texts], self.known
+        if len(known) > CACHE:
+            known.clear()
+        merged = self.library.model.tokenize
+        for piece in set().union(*[c for plain, c in cuts if plain]):
+            if piece not in known:
+                known[piece] = b"".join([token.id.to_bytes(4, "little") for token in merged(piece.translate(_LETTERS))])
+        rest = [p for p in set().union(*[c for plain, c in cuts if not plain]) if p not in known]
         for piece, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in cuts]
-
-
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed for the way to their place in order."""
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [z.compress(t or b"") for t in as_bytes(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["place", "doc_id", "packed"])
+            known[piece] = np.array(found.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, c)) for _, c in cuts]
 
 
 def _written(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, own, names, ids, held, place, seq = zstandard.ZstdDecompressor(), encoder(path), [], [], 0, None, 0
+        own, names, ids, held, place, seq = encoder(path), [], [], 0, None, 0
         end = np.array([END], "<u4").tobytes()
 
         def part() -> pa.RecordBatch:
@@ -209,7 +233,7 @@ def _written(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                texts = [z.decompress(p).decode() for p in rows.column(2).to_pylist()]
+                texts = [t or "" for t in rows.column(2).to_pylist()]
                 for p, name, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), own.encode(texts)):
                     if names and (p != place or held >= PART):
                         yield part()
@@ -227,53 +251,64 @@ def _written(path: str):
 def write(docs: DataFrame, to: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each whole text, appends END, and writes parts of ids to the folder `to`, in ascending order of id.
 
-    Null texts are encoded as empty ones; rows without an id come first; rows of one id stay together in any order.
-    Ranges of ids come from approximate quantiles of the id column; texts move once, compressed, to their range.
+    Null texts are encoded as empty ones; rows without an id come first, dealt over a place a batch of them; rows of one id
+    stay together in any order; texts of any length are taken whole, a part holds one at least. Other columns are not read.
+    No rows write no part. Ranges of ids come from approximate quantiles of the id column; texts move once to their range.
     """
     path = path or default_path()
     n = partitions(docs.sparkSession)
     ids = F.col(id_col).cast("long")
     bounds = docs.select(F.percentile_approx(ids, [i / n for i in range(1, n)] if n > 1 else [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    steps = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>")
-    place = F.when(ids.isNull(), 0).otherwise(F.size(F.filter(steps, lambda b: b < ids))) if len(bounds) < 4 else None
-    slim = docs.select(ids.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if place is None:
-
-        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = [0 if i is None else bisect.bisect_left(bounds, i) for i in batch.column(0).to_pylist()]
-                yield from _squeezed([pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["place", "doc_id", "text"])])
-
-        sent = slim.mapInArrow(placed, "place int, doc_id long, packed binary")
-    else:
-        sent = slim.select(place.cast("int").alias("place"), "doc_id", "text").mapInArrow(_squeezed, "place int, doc_id long, packed binary")
-    ordered = sent.repartitionById(max(1, len(bounds) + 1), "place").sortWithinPartitions("place", "doc_id")
+    bounds = np.array(sorted(set(bounds)), np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0)
+            place = np.searchsorted(bounds, own.fill_null(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32) + n
+            null = own.is_null().to_numpy(zero_copy_only=False)
+            place[null] = np.arange(int(null.sum())) % n
+            yield pa.RecordBatch.from_arrays([pa.array(place), *batch.columns], names=["place", "doc_id", "text"])
+
+    slim = docs.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sent = slim.mapInArrow(placed, "place int, doc_id long, text string")
+    # places below n have the rows without an id, the others the ranges of ids
+    ordered = sent.repartitionById(n + len(bounds) + 1, "place").sortWithinPartitions("place", "doc_id")
     ordered.mapInArrow(_written(path), "place int, seq int, n_ids long, payload binary").write.mode("error").parquet(to)
 
 
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of a folder (place, seq, n_ids, payload)."""
+    return spark.read.schema("place int, seq int, n_ids long, payload binary").parquet(folder)
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files: the ids before it, its own, their CRC-32."""
-    parts = spark.read.schema("place int, seq int, n_ids long, payload binary").parquet(folder)
-    sizes = sorted(tuple(r) for r in parts.select("place", "seq", "n_ids").collect())  # a row a part of PART ids
-    starts, total = {}, 0
-    for place, seq, held in sizes:
-        starts[place, seq] = total
-        total += held
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files: the ids before it, its own, their CRC-32.
+
+    Where a part starts is the sum of what the places before it hold, a row a place, and of what its own place holds before
+    it, found within the place. No parts give no rows.
+    """
+    found = parts(spark, folder)
+    sizes = found.select("place", "seq", "n_ids")
+    totals = sizes.groupBy("place").agg(F.sum("n_ids").alias("held"))
+    before = totals.select("place", (F.sum("held").over(Window.orderBy("place")) - F.col("held")).alias("before"))  # a row a place
+    within = F.sum("n_ids").over(Window.partitionBy("place").orderBy("seq")) - F.col("n_ids")
+    starts = sizes.withColumn("within", within).join(before, "place").select("place", "seq", (F.col("before") + F.col("within")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, seq, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                names, counts, ids = read_part(payload)
+            for place, seq, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                names, counts, ids = read_part(payload.as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(ends - counts + starts[place, seq]), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                    [pa.array(np.full(len(names), place, np.int32)), pa.array(np.full(len(names), seq, np.int32)), pa.array(names, pa.int64()),
+                     pa.array(ends - counts), pa.array(counts.astype(np.int64)), pa.array(crcs, pa.int64())],
+                    names=["place", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
+                )
 
-    return parts.select("place", "seq", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = found.select("place", "seq", "payload").mapInArrow(run, "place int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["place", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def new_folder(spark: SparkSession) -> str:
