@@ -7,14 +7,15 @@ and those found in an earlier document, which overlap along a repeat, add up to
 
 Both steps deal packed arrays by hash: a row for each task and block of hashes, not for each word. No pair of places is
 ever formed: a block of hashes knows which hits there are, and of a window only the smallest document id matters, so a
-passage that a third of all documents share costs what any other text costs.
+passage that a third of all documents share costs what any other text costs. The number of blocks follows the bytes of
+text, and a block is gone through by ranges of its hashes: its packed arrays and one range are what a task holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ ANCHOR = (WINDOW + 1) // 2
 _NULL = np.iinfo(np.int64).max
 #: Words gathered before packed arrays are sent: bounds a worker's memory.
 _GATHER = 400_000
+#: Bytes of text to a block of hashes, and hashes judged together.
+BLOCK_BYTES, _JUDGED = 256 << 20, 4 << 20
 _PACKED = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("items", pa.binary())])
 _DOC = np.dtype([("doc_id", "<i8"), ("tag", "<u4"), ("count", "<u4")])
 
@@ -42,44 +45,50 @@ def _texts(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1)
 
 
 class _Packer:
-    """Gathers (hash, position) of documents and deals them to n blocks by hash.
+    """Gathers (hash, mark) of documents and deals them to n blocks by hash, packed by `packing`."""
 
-    `width` bytes of each hash are sent: 4 of anchors, whose false hits cost a comparison of whole windows and no more,
-    all 8 of whole windows.
-    """
-
-    def __init__(self, n: int, width: int):
-        self.n, self.width, self.docs, self.hashes, self.places, self.held = n, width, [], [], [], 0
+    def __init__(self, n: int, packing: Callable[[np.ndarray, np.ndarray], bytes]):
+        self.n, self.packing, self.docs, self.hashes, self.marks, self.held = n, packing, [], [], [], 0
 
-    def add(self, doc_id: int, tag: int, hashes: np.ndarray, places: np.ndarray) -> None:
+    def add(self, doc_id: int, tag: int, hashes: np.ndarray, marks: np.ndarray) -> None:
         self.docs.append((doc_id, tag, len(hashes)))
         self.hashes.append(hashes)
-        self.places.append(places)
+        self.marks.append(marks)
         self.held += len(hashes)
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            hashes, places = np.concatenate(self.hashes), np.concatenate(self.places)
+            hashes, marks = np.concatenate(self.hashes), np.concatenate(self.marks)
             doc = np.repeat(np.arange(len(self.docs)), [d[2] for d in self.docs])
             block = (mixed(hashes) % np.uint64(self.n)).astype(np.int32)
             order = np.argsort(block, kind="stable")
-            hashes, places, doc, block = hashes[order], places[order], doc[order], block[order]
+            hashes, marks, doc, block = hashes[order], marks[order], doc[order], block[order]
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             rows = []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
                 own, counts = np.unique(doc[s:e], return_counts=True)
                 head = np.array([(*self.docs[d][:2], c) for d, c in zip(own.tolist(), counts.tolist())], _DOC)
-                rows.append((int(block[s]), head.tobytes(), pack(hashes[s:e], places[s:e], self.width)))
+                rows.append((int(block[s]), head.tobytes(), self.packing(hashes[s:e], marks[s:e])))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
-        self.docs, self.hashes, self.places, self.held = [], [], [], 0
+        self.docs, self.hashes, self.marks, self.held = [], [], [], 0
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The 31 bits of a hash by which anchors are told apart: a false hit costs a comparison of whole windows and no more."""
+    return (hashes & np.uint64(0x7FFFFFFF)).astype("<u4")
+
+
+def pack_anchors(hashes: np.ndarray, indexed: np.ndarray) -> bytes:
+    """Four bytes for each: the short hash, and whether it is a block of the index."""
+    return (short(hashes) << np.uint32(1) | indexed.astype("<u4")).tobytes()
 
 
-def pack(hashes: np.ndarray, places: np.ndarray, width: int) -> bytes:
-    """Low bytes of hashes, then of places, as few as the largest place needs."""
+def pack(hashes: np.ndarray, places: np.ndarray) -> bytes:
+    """All bytes of hashes, then those of places, as few as the largest place needs."""
     most = int(places.max()) if len(places) else 0
     wide = 2 if most < 1 << 16 else 3 if most < 1 << 24 else 8
-    columns = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes() for x, n in ((hashes, width), (places, wide))]
-    return bytes([width, wide]) + b"".join(columns)
+    columns = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes() for x, n in ((hashes, 8), (places, wide))]
+    return bytes([8, wide]) + b"".join(columns)
 
 
 def unpack(items: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +103,16 @@ def unpack(items: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probes(n: int):
-    """All windows of ANCHOR words; flagged where they are a block of the index."""
+    """All windows of ANCHOR words; marked where they are a block of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = WordHashes(), _Packer(n, 4)
+        words, out = WordHashes(), _Packer(n, pack_anchors)
         for _, ids, texts in _texts(batches):
             for doc_id, text in zip(ids.tolist(), texts):
                 split = text.split()
                 if len(split) >= WINDOW:
                     found = windows(words.of(split), ANCHOR)
-                    at = np.arange(len(found), dtype=np.uint64)
-                    out.add(doc_id, zlib.crc32(text), found, at * np.uint64(2) + (at % np.uint64(ANCHOR) == 0))
+                    out.add(doc_id, zlib.crc32(text), found, np.arange(len(found)) % ANCHOR == 0)
                     if out.held >= _GATHER:
                         yield from out.send()
         yield from out.send()
@@ -113,15 +121,15 @@ def _probes(n: int):
 
 
 def _candidates(n: int):
-    """All windows of WINDOW words that hold a hit; the last column has the places of the hits."""
+    """All windows of WINDOW words that hold a hit; the last column has the short hashes of the hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = WordHashes(), _Packer(n, 8)
+        words, out = WordHashes(), _Packer(n, pack)
         for batch, ids, texts in _texts(batches):
             for doc_id, text, hits in zip(ids.tolist(), texts, batch.column(2).to_pylist()):
-                found = windows(words.of(text.split()), WINDOW)
-                near = np.zeros(len(found) + WINDOW, np.int32)
-                hit = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in hits]).astype(np.int64))
+                hashes = words.of(text.split())
+                found, near = windows(hashes, WINDOW), np.zeros(len(hashes) + 1, np.int32)
+                hit = np.flatnonzero(np.isin(short(windows(hashes, ANCHOR)), np.concatenate([np.frombuffer(x, "<u4") for x in hits])))
                 np.add.at(near, np.maximum(hit - (WINDOW - ANCHOR), 0), 1)
                 np.add.at(near, hit + 1, -1)
                 at = np.flatnonzero(np.cumsum(near)[: len(found)] > 0)
@@ -137,45 +145,68 @@ def _candidates(n: int):
 _PLACES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.list_(pa.binary()))])
 
 
+def _ranges(parts: list[tuple[bytes, bytes]], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Heads of all documents of a block and, range by range of its hashes, documents, hashes and marks in order of the hash."""
+    heads = np.concatenate([np.frombuffer(d, _DOC) for d, _ in parts])
+    total = int(heads["count"].sum(dtype=np.int64))
+    ranges = -(-total // _JUDGED)
+    firsts = np.cumsum([0, *[len(d) // _DOC.itemsize for d, _ in parts]])
+    for r in range(ranges):
+        docs, hashes, marks = [], [], []
+        for first, (d, items) in zip(firsts.tolist(), parts):
+            if whole:
+                h, m = unpack(items)
+            else:
+                x = np.frombuffer(items, "<u4")
+                h, m = x >> np.uint32(1), x & np.uint32(1)
+            counts = np.frombuffer(d, _DOC)["count"]
+            doc = np.repeat(np.arange(first, first + len(counts)), counts)
+            own = slice(None) if ranges == 1 else (mixed(h.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)) % np.uint64(ranges) == r
+            docs.append(doc[own]), hashes.append(h[own]), marks.append(m[own])
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        yield heads, np.concatenate(docs)[order], h[order], np.concatenate(marks)[order]
+
+
 def _judge(n: int, whole: bool):
-    """Over all packed arrays of a block: which places go on. One partition holds one block or several.
+    """Over all packed arrays of a block: what goes on. One partition holds one block or several.
 
-    Of anchors (whole = false) those of an index block that another document has too, or that equal one; of whole
-    windows those of which a document with a smaller id has one.
+    Of anchors (whole = false) the hashes of those of an index block that another document has too, or that equal one; of
+    whole windows the places of those of which a document with a smaller id has one.
     """
 
     def judged(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        heads = np.concatenate([np.frombuffer(d, _DOC) for d, _ in parts])
-        hashes, places = (np.concatenate(x) for x in zip(*[unpack(i) for _, i in parts]))
-        doc = np.repeat(np.arange(len(heads)), heads["count"])
-        order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        starts, run = np.flatnonzero(new), np.cumsum(new) - 1
-        ids = heads["doc_id"][doc[order]]
-        least = np.minimum.reduceat(ids, starts)
-        if whole:
-            out = least[run] < ids
-        else:
-            anchored = np.maximum.reduceat((places[order] & np.uint64(1)).astype(np.int8), starts)
-            out = ((anchored > 0) & (np.maximum.reduceat(ids, starts) > least))[run]
-        at = order[out]
+        for heads, doc, h, marks in _ranges(parts, whole):
+            if not len(h):
+                continue
+            new = np.r_[True, h[1:] != h[:-1]]
+            starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+            ids = heads["doc_id"][doc]
+            least = np.minimum.reduceat(ids, starts)
+            if whole:
+                out = least[run] < ids
+            else:
+                out = ((np.maximum.reduceat(marks, starts) > 0) & (np.maximum.reduceat(ids, starts) > least))[run]
+                out &= np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]  # once for each document
+            yield from sent(heads, doc[out], (marks if whole else h)[out].astype("<u4"))
+
+    def sent(heads: np.ndarray, doc: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row for each block of documents, not for each document."""
+        if not len(doc):
+            return
         to = (mixed(heads["doc_id"].astype(np.uint64) ^ heads["tag"]) % np.uint64(n)).astype(np.int32)
-        at = at[np.lexsort((at, to[doc[at]]))]
-        place = (places[at] if whole else places[at] >> np.uint64(1)).astype("<u4")
-        of = doc[at]
-        if len(at):  # a row for each block of documents, not for each document
-            firsts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            own = heads[of[firsts]]
-            own["count"] = np.diff(np.r_[firsts, len(at)])
-            target = to[of[firsts]]
-            cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-            ends = [*cuts[1:].tolist(), len(own)]
-            starts = [*firsts.tolist(), len(at)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(target[cuts]), pa.array([own[s:e].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary()),
-                 pa.array([place[starts[s] : starts[e]].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary())], schema=_PACKED
-            )
+        order = np.lexsort((doc, to[doc]))
+        doc, values = doc[order], values[order]
+        firsts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        own = heads[doc[firsts]]
+        own["count"] = np.diff(np.r_[firsts, len(doc)])
+        target = to[doc[firsts]]
+        cuts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        ends, starts = [*cuts[1:].tolist(), len(own)], [*firsts.tolist(), len(doc)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(target[cuts]), pa.array([own[s:e].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary()),
+             pa.array([values[starts[s] : starts[e]].tobytes() for s, e in zip(cuts.tolist(), ends)], pa.binary())], schema=_PACKED
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
@@ -230,7 +261,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tag is the CRC-32 of the text; a null id is 2^63 - 1 here.
     """
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NULL))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = partitions(docs.sparkSession)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
     packed = "block int, docs binary, items binary"
     hits = cut(_by_block(slim.mapInArrow(_probes(n), packed), n, whole=False))
     release(docs.sparkSession)  # the packed probes, before the texts are dealt out
@@ -291,5 +323,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
 
     if digest:
         return wide.select("doc_id", "__text", "__places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema)
     return wide.select(*[f"c{i}" for i in range(len(names))], "__text", "__places").mapInArrow(run, f"{fields}, n_words long, n_removed long")
