@@ -1,14 +1,17 @@
 import io
 import json
+import sys
 import zipfile
 
 import pytest
+from pyspark.sql import Observation
 
+from maskspark import register
 from maskspark.config import MaskConfig
 from maskspark.functions.masking import Masker, Session
-from maskspark.operators import audit, documents, requests, restoring, sessions
+from maskspark.operators import audit, display, documents, requests, restoring, sessions
 from maskspark.plans.queries import QUERIES, SQL
-from maskspark.sources import docx, texts
+from maskspark.sources import docx, images, texts
 from maskspark.streaming import restoring as streams
 
 
@@ -117,6 +120,69 @@ def test_top_ties(spark):
     assert [(r.cat, r.n) for r in audit.top_categories(parsed).collect()] == [("key", 2), ("phone", 1), ("email", 1), ("bank", 1)]
 
 
+def test_display(spark):
+    """History records and frames are restored where they are shown, each by the values of its own sessions."""
+    mail, text = "[REDACTED_EMAIL_1]", lambda t: [{"type": "text", "text": t}]
+    mapping = spark.createDataFrame([("s", "email", "a@b.org", 1, mail), ("t", "email", "c@d.org", 1, mail)], sessions.MAPPING)
+    record = {"type": "event", "event": {"type": "m", "data": {"message": {"content": [*text(mail), {"type": "tool-call", "name": mail, "arguments": {"to": mail}}, {"type": "tool-result", "content": text(f"x {mail}")}]}}}}
+    queue = [{"message": {"content": text(mail)}}, {"message": {"content": mail}}, 3]
+    frames = [
+        ("s", 1, {"type": "snapshot", "records": [record, {"type": "chunk", "text": mail}]}), ("s", 2, {"type": "event", "event": {"data": {"content": mail}}}),
+        (None, 3, {"type": "baseline", "value": {"queues": {"s": queue, "t": queue, "u": queue}}}), ("x", 4, {"type": "queue", "sessionId": "t", "items": queue}),
+        ("s", 5, {"type": "other", "text": mail}), ("s", 6, {"type": "event", "event": {"data": {"content": [{"text": mail}]}}}),
+    ]
+    df = spark.createDataFrame([*((s, i, json.dumps(f)) for s, i, f in frames), ("s", 7, None), ("s", 8, "{REDACTED_")], "session_id string, seq int, frame string").withColumn("map_values", documents.F.lit(1))
+    out = {r.seq: r.frame for r in display.restore_frames(df, mapping, ["seq"]).collect()}
+    got = {i: json.loads(out[i]) for i in range(1, 7)}
+    first = got[1]["records"][0]["event"]["data"]["message"]["content"]
+    assert first[0]["text"] == "a@b.org" and first[1] == {"type": "tool-call", "name": mail, "arguments": {"to": "a@b.org"}} and first[2]["content"][0]["text"] == "x a@b.org"
+    assert got[1]["records"][1]["text"] == mail and got[2]["event"]["data"]["content"] == "a@b.org"
+    assert [got[3]["value"]["queues"][s][0]["message"]["content"][0]["text"] for s in "stu"] == ["a@b.org", "c@d.org", mail] and got[3]["value"]["queues"]["s"][1:] == queue[1:]
+    assert got[4]["items"][0]["message"]["content"][0]["text"] == "c@d.org" and got[5] == frames[4][2] and got[6] == frames[5][2] and out[7] is None and out[8] == "{REDACTED_"
+    history = spark.createDataFrame([("s", 1, json.dumps(record))], "session_id string, seq int, frame string")
+    assert "a@b.org" in display.restore_frames(history, mapping, ["seq"], records=True).first().frame
+    where = spark.createDataFrame([('{"kind":"session","sessionId":"s"}',), ('{"kind":"subagent","childSessionId":"c"}',), ('{"kind":"x"}',), (None,)], "a string")
+    assert [r[0] for r in where.select(display.session_of_address(documents.F.col("a"))).collect()] == ["s", "c", None, None]
+
+
+def test_images(spark):
+    """Images are read once each, replaced by their texts, and masked as these."""
+
+    def reader(data, media_type, profile):
+        if data == b"bad" or (data == b"hard" and profile == "balanced"):
+            raise ValueError("cannot open /srv/x/y.png")
+        return f"mail a@b.org {data.decode()} {profile}"
+
+    stored = spark.createDataFrame([("i1", "image/png", bytearray(b"one")), ("i1", "image/png", bytearray(b"one")), ("i2", None, bytearray(b"hard")), ("i3", None, bytearray(b"bad")), (None, None, bytearray(b"x"))], "attachment_id string, media_type string, content binary")
+    read = images.read(stored, reader)
+    assert {(r.attachment_id, r.ok, r.text, r.error) for r in read.collect()} == {("i1", True, "mail a@b.org one balanced", None), ("i2", True, "mail a@b.org hard accurate", None), ("i3", False, None, "cannot open <path>")}
+    image = lambda i: {"type": "image", "attachment": {"attachmentId": i}}
+    rows = [("s", 1, {"messages": [{"content": [image("i1"), {"type": "tool-result", "content": [image("i2")]}]}]}), ("s", 2, {"messages": [{"content": [image("i3"), image("i9")]}]}), ("s", 3, {"messages": [{"content": "x"}]})]
+    df = spark.createDataFrame([*((s, i, json.dumps(r)) for s, i, r in rows), ("s", 4, "{"), ("s", 5, None)], "sid string, seq int, request string")
+    got = {r.seq: r.request for r in images.with_texts(df, read).collect()}
+    assert json.loads(got[1])["messages"][0]["content"] == [{"type": "text", "text": "mail a@b.org one balanced"}, {"type": "tool-result", "content": [{"type": "text", "text": "mail a@b.org hard accurate"}]}]
+    assert [b["text"] for b in json.loads(got[2])["messages"][0]["content"]] == ["(image not read: cannot open <path>)", "(image not read: not found)"]
+    assert got[3] == json.dumps(rows[2][2]) and got[4] == "{" and got[5] is None
+    block = MaskConfig(non_text_policy="block")
+    done = {r.seq: r.decision for r in requests.mask_requests(images.with_texts(df, read, cfg=block), "sid", ["seq"], cfg=block).collect()}
+    assert done == {1: "masked", 2: "blocked", 3: "clean", 4: "error", 5: "error"}
+    answer = images.command((sys.executable, "-c", "import json, sys; print(json.dumps({'ok': True, 'result': open(sys.argv[1]).read() + sys.argv[-1]}))"))
+    assert answer(b"text ", "image/png", "accurate") == "text accurate"
+
+
+def test_register(spark):
+    register.register(spark)
+    row = spark.sql("select mask_text('a@b.org') as m, find_sensitive('a@b.org')[0].cat as c, mask_text(null) as n").first()
+    assert tuple(row) == ("[REDACTED_EMAIL_1]", "email", None)
+    data = _docx("<w:p><w:r><w:t>one</w:t></w:r></w:p>")
+    spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"no")), (3, None)], "id int, content binary").createOrReplaceTempView("word_files")
+    assert [(r.id, r.text) for r in spark.sql("select id, text from word_files, lateral docx_texts(content)").collect()] == [(1, "one")]
+    seen = Observation()
+    df = spark.createDataFrame([("a@b.org c@d.org",), (None,), ("x",), (LONG,)], "text string")
+    register.observed(documents.mask_documents(df), seen).collect()
+    assert seen.get == {"rows": 4, "changed": 2, "refused": 1, "values": 2}
+
+
 def test_base64():
     import base64
 
