@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: The key to use where none is given: for tests. Whoever knows the key can undo the pseudonyms.
 KEY = "maskspark-demo-key"
 ROUNDS = 8
-#: Longest value that the string network takes: each half draws 4 hex digits a character from one SHA-512.
-LONGEST = 64
+#: Characters of a half that one SHA-512 moves, by 4 hex digits each.
+DRAWN = 32
 
 #: Days from 1800-01-01 to 2199-12-31: 400 years, 189 * 773 days.
 _YEARS, _FIRST, _A, _B = (1800, 2199), "1800-01-01", 189, 773
@@ -42,13 +42,13 @@ _NO_OTHER = rf"(?! (?:{_DATE}|{_SSN}|{_IPV4})(?![0-9])){_NO_CARD}"
 _PHONE_OPEN, _PHONE_SHUT = r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{2,4}\))?", r"(?![0-9A-Za-z])" + _after(8)
 _GROUP = r"[ .\-]?[0-9]{2,5}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "phone": _PHONE_OPEN + rf"{_NO_LONG}{_GROUP}(?:{_NO_OTHER}{_GROUP}){{1,4}}" + _PHONE_SHUT + "|" + _PHONE_OPEN + rf"{_NO_LONG}{_GROUP}(?:{_NO_CARD}{_GROUP}){{1,4}}" + _PHONE_SHUT + r"(?![.\-/][0-9])",
     "ipv4": _OPEN + _IPV4 + _SHUT,
     "date": _OPEN + _DATE + _SHUT,
     "ssn": _OPEN + _SSN + _SHUT,
-    "digits": _OPEN + r"[0-9][0-9 \-]{11,}[0-9]" + _SHUT + r"(?![A-Za-z0-9._%+\-]{0,64}+@)",
+    "digits": _OPEN + r"[0-9][0-9 \-]{11,}[0-9]" + _SHUT + r"(?![A-Za-z0-9._%+\-]*+@)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -82,7 +82,9 @@ def _network(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Co
 
     def turned(a: Column, b: Column, n: Column) -> Column:
         """a, each of its characters moved by what b draws in round n."""
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), F.length(a).cast("string"), b), 512)
+        base = F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), F.length(a).cast("string"), b)
+        further = F.transform(F.sequence(F.lit(1), F.floor((F.length(a) - 1) / DRAWN).cast("int")), lambda k: F.sha2(F.concat_ws("|", base, k.cast("string")), 512))
+        stream = F.when(F.length(a) <= DRAWN, F.sha2(base, 512)).otherwise(F.concat(F.sha2(base, 512), F.array_join(further, "")))
 
         def moved(char: Column, i: Column) -> Column:
             by = _hex(F.substring(stream, i * 4 + 1, F.lit(4)))
@@ -104,10 +106,11 @@ def _network(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round, lambda s: F.concat(s["l"], s["r"]))
 
 
-def _number(value: Column, a: int, b: int, key: str, kind: str) -> Column:
-    """A permutation of the whole numbers from 0 to a * b - 1."""
+def _number(value: Column, a: int, b: int, key: str, kind: str | Column) -> Column:
+    """A permutation of the whole numbers from 0 to a * b - 1, another one for each kind."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     start = F.struct(F.floor(value / b).cast("long").alias("l"), (value % b).cast("long").alias("r"))
-    drawn = lambda n, x: _hex(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), x.cast("string")), 256), 1, 14))
+    drawn = lambda n, x: _hex(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, n.cast("string"), x.cast("string")), 256), 1, 14))
 
     def one_round(s: Column, n: Column) -> Column:
         even = n % 2 == 0
@@ -154,18 +157,27 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or day first; month first where only that gives a date. Days outside 1800 to 2199 are left alone."""
+    """Year first, or day first; month first where only that gives a date. Days outside 1800 to 2199 are left alone.
 
-    def as_one(shape: str, fmt: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(fmt)).cast("date")
-        n = F.datediff(day, F.lit(_FIRST).cast("date")).cast("long")
-        new = F.date_add(F.lit(_FIRST).cast("date"), _number(n, _A, _B, key, f"date {fmt}").cast("int"))
-        return F.when(m.rlike(shape) & F.year(day).between(*_YEARS), F.date_format(new, fmt))
-
-    return F.coalesce(
-        as_one("^....-", "yyyy-MM-dd"), as_one("^..../", "yyyy/MM/dd"), as_one("^..[.]", "dd.MM.yyyy"),
-        as_one("^../", "dd/MM/yyyy"), as_one("^../", "MM/dd/yyyy"), as_one("^..-", "dd-MM-yyyy"), as_one("^..-", "MM-dd-yyyy"),
-    )
+    Days are permuted by number and written as they were read. A date that only reads with its month first gets one of the
+    kind: its day is permuted again and again until it is over 12, which keeps the permutation one to one.
+    """
+    sep = F.regexp_extract(m, "([-/.])", 1)
+    written = lambda a, b, c: F.concat(F.lit(a), sep, F.lit(b), sep, F.lit(c))
+    year_first = m.rlike("^[0-9]{4}")
+    first = F.when(year_first, written("yyyy", "MM", "dd")).otherwise(written("dd", "MM", "yyyy"))
+    read = lambda fmt: F.try_to_timestamp(m, fmt).cast("date")
+    other = F.when(~year_first & (sep != "."), written("MM", "dd", "yyyy"))
+    readings = F.array(F.struct(read(first).alias("day"), first.alias("fmt"), F.lit(False).alias("late")), F.struct(read(other).alias("day"), other.alias("fmt"), F.lit(True).alias("late")))
+
+    def new(r: Column) -> Column:
+        date = lambda n: F.date_add(F.lit(_FIRST).cast("date"), n.cast("int"))
+        moved = lambda n: _number(n, _A, _B, key, F.concat(F.lit("date "), r["fmt"]))
+        start = moved(F.datediff(r["day"], F.lit(_FIRST).cast("date")).cast("long"))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, lambda n, _: F.when(F.dayofmonth(date(n)) <= 12, moved(n)).otherwise(n))
+        return F.when(F.year(r["day"]).between(*_YEARS), F.call_function("date_format", date(F.when(r["late"], walked).otherwise(start)), r["fmt"]))
+
+    return F.get(F.transform(F.filter(readings, lambda r: r["day"].isNotNull()), new), 0)
 
 
 def _ssn(m: Column, key: str) -> Column:
