@@ -17,7 +17,7 @@ EQUIVALENT = [
     ("authorised", "authorized"), ("behaviour", "behavior"), ("cancelled", "canceled"), ("capitalisation", "capitalization"), ("catalogue", "catalog"),
     ("centre", "center"), ("customised", "customized"), ("favour", "favor"), ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"),
     ("initialise", "initialize"), ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("merchantibility", "merchantability"),
-    ("merchantable", "merchantable"), ("modelled", "modeled"), ("noncommercial", "non commercial"), ("non infringement", "noninfringement"),
+    ("modelled", "modeled"), ("noncommercial", "non commercial"), ("non infringement", "noninfringement"),
     ("optimisation", "optimization"), ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("https", "http"), ("copyright holder", "copyright owner"),
@@ -111,11 +111,11 @@ def normalized(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)^[ \t#*/;%\-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|by|<)|\(c\)|©)[^\n]*$", "")
     t = F.regexp_replace(t, r"(?m)^[ \t#*/;%\-]*all rights reserved[.]?[ \t\r]*$", "")
     t = F.regexp_replace(t, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " ")
-    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+    # two blanks between words: each word has its own, so that neighbours that are both replaced don't share one
+    t = F.concat(F.lit(" "), F.replace(F.trim(t), F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in EQUIVALENT:
-        if a != b:
-            t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {a} ".replace(" ", "  ")[1:-1]), F.lit(f" {b} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

@@ -69,11 +69,11 @@ def _normalized(column: str) -> str:
     t = f"lower(coalesce({column}, ''))"
     t = rf"regexp_replace({t}, '(?m)^[ \t#*/;%\-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|by|<)|\(c\)|©)[^\n]*$', '', 'g')"
     t = rf"regexp_replace({t}, '(?m)^[ \t#*/;%\-]*all rights reserved[.]?[ \t\r]*$', '', 'g')"
-    t = rf"' ' || trim(regexp_replace({t}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) || ' '"
+    t = rf"' ' || replace(trim(regexp_replace({t}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ', '  ') || ' '"
     for a, b in licenses.EQUIVALENT:
-        if a != b:
-            t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"trim({t})"
+        a, b = (f" {x} ".replace(" ", "  ")[1:-1] for x in (a, b))
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"trim(replace({t}, '  ', ' '))"
 
 
 OP10 = f"""
