@@ -183,7 +183,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, same columns, with the texts that the bitmaps leave."""
+    """docs, same columns, with the texts that the bitmaps leave; rows without a bitmap, null texts among them, stay as they are."""
     names = docs.columns
     id_at, text_at = names.index(id_col), names.index(text_col)
     wide = with_bitmaps(docs.select(*positional(docs, names)), bitmaps, f"c{id_at}", f"c{text_at}").drop("__n_dropped")
@@ -215,4 +215,9 @@ def digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, same columns of any name, with the lines dropped that keep_bitmaps() drops: by whole texts, ties, nulls and all.
+
+    Null texts stay null, empty ones empty; a null id is smaller than any other, so its lines go where others have them;
+    repeated rows lose the same lines. A text may lose all its lines and then is empty. No rows give no rows.
+    """
     return drop_lines(docs, keep_bitmaps(docs, min_chars, min_documents, id_col, text_col), id_col, text_col)

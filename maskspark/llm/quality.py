@@ -176,7 +176,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs without the rows that judge() rejects, same columns; what is judged is the pair of id and statistics of the text."""
+    """docs without the rows that judge() rejects, same columns, whatever their names.
+
+    Null and empty texts have too few words and go; null languages and sources are groups of their own; null ids are kept or
+    rejected by their texts; repeated rows stay or go together and count as often as they stand; a distance that equals the
+    limit is within it. Texts are taken whole. No rows give no rows.
+    """
     fields = "g string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{x} double" for x in _X)
     slim = docs.select(_group(lang_col, source_col).alias("g"), F.col(text_col).cast("string").alias("text"))
     rows = cut(slim.mapInArrow(_vectors, fields))

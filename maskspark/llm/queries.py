@@ -8,36 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskspark.llm import bpe, forest, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, repeats, sql, token_files
-from maskspark.llm.shared import table
+from maskspark.llm.shared import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(_documents(spark, sf_dir))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     rows = mixing.with_copies(docs, mixing.source_plan(docs))
     taken = (F.col("copies") * F.col("__size")).cast("long").alias("taken")
     return rows.select(F.col("doc_id").cast("long"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.dedup(table(spark, sf_dir, "documents"), digest=True)
+    return repeats.dedup(_documents(spark, sf_dir), digest=True)
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymize(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
-    token_files.write(table(spark, sf_dir, "documents"), folder)
+    token_files.write(_documents(spark, sf_dir), folder)
     return token_files.read(spark, folder)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(_documents(spark, sf_dir))
 
 
 def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +49,16 @@ def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"))
+    return bpe.digests(_documents(spark, sf_dir))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_id", "license_digest")
+    return licenses.scan(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "license_id", "license_digest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

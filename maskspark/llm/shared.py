@@ -23,16 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, dealt to all of them; any larger one is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; where it is unset (tests on one machine) sets a folder of its own."""
+    """Uses spark.checkpoint.dir. Where it is unset, a session on one machine gets a folder of its own; on a cluster that is an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
-            where = os.path.join(tempfile.gettempdir(), "maskspark-checkpoints")
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="maskspark-checkpoints-")
         spark.sparkContext.setCheckpointDir(where)
 
 
