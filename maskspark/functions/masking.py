@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from maskspark.config import MaskConfig
 from maskspark.functions import rules
@@ -53,6 +54,40 @@ class Session:
 Hit = tuple[str, str, str]
 
 
+_DIGITS = re.compile("[0-9]{4,}")
+
+
+class _Look:
+    """What is quick to see of a text, found out once it is asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def han(self) -> bool:
+        return _HAN.search(self.text) is not None
+
+    @cached_property
+    def lower(self) -> str:
+        return self.text.lower()
+
+    @cached_property
+    def digits(self) -> int:
+        return max(map(len, _DIGITS.findall(self.text)), default=0)
+
+    @cached_property
+    def word(self) -> int:
+        return max(map(len, self.text.split()), default=0)
+
+    def may(self, rule: rules.Rule) -> bool:
+        """Whether the rule can find anything here."""
+        if rule.han and not self.han:
+            return False
+        if rule.signs and not any(map((self.lower if rule.folded else self.text).__contains__, rule.signs)):
+            return False
+        return not (rule.digits > 4 and self.digits < rule.digits or rule.digits and not self.digits or rule.word and self.word < rule.word)
+
+
 class Masker:
     """A configuration's rules, compiled once a worker."""
 
@@ -67,9 +102,9 @@ class Masker:
             return text
         if len(text) > LONGEST_RUN and longest_run(text) > LONGEST_RUN:
             raise TooLong(f"a run of more than {LONGEST_RUN} characters without a space")
-        has_han, before = bool(_HAN.search(text)), False
+        look, before = _Look(text), False
         for rule in self.rules:
-            if (rule.han and not has_han) or (rule.after and not before):
+            if (rule.after and not before) or not look.may(rule):
                 before = False
                 continue
             parts, at = [], 0
@@ -82,7 +117,7 @@ class Masker:
             before = bool(parts)
             if before:
                 text = "".join((*parts, text[at:]))
-                has_han = bool(_HAN.search(text))
+                look = _Look(text)
         return text
 
 

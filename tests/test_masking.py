@@ -146,3 +146,20 @@ def test_config():
         with pytest.raises(ValueError):
             MaskConfig.from_json(bad)
     assert split_terms("a; b，c\na") == ("a", "b", "c")
+
+
+def test_quick_looks():
+    """What a rule is said to need in a text changes nothing of what is masked."""
+    from dataclasses import replace as changed
+
+    from maskspark.plans import evidence
+
+    rng = random.Random(42)
+    cfg = MaskConfig(redact_paths=True, redact_case_numbers=True, redact_dob=True, strict_id18=False, custom_terms=("Heron",))
+    own, bare = Masker(cfg), Masker(cfg)
+    bare.rules = [changed(r, signs=(), digits=0, word=0, han=r.han and not r.pattern) for r in bare.rules]
+    pool = [c.before for _, cases in evidence.GROUPS.values() for c in cases] + [t for c, _ in CASES for t in (c, c[: len(c) // 2])] + KEPT
+    pool += ["139", "1234567", "12345678901", "138-0000-1111", "110105194912310021", "E12345678", "0f" * 20, "QUJD/+xyz" * 4, "a@b.org", "BEARER abcdefghijklmnop1234", "Password: hunter22", "MAILTO:x@y.org", "\n", " ", "，", "。", "3", "é"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))
+        assert own.mask(text, Session()) == bare.mask(text, Session())
