@@ -88,6 +88,14 @@ def entities_column(text: Column, cfg: MaskConfig = MaskConfig()) -> Column:
     return run(text.cast("string"))
 
 
+def union_cells(*sources: DataFrame) -> DataFrame:
+    """Cells of several sources as one table, by name; a column that a source lacks is null there."""
+    out, *rest = sources
+    for df in rest:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def detect_entities(df: DataFrame, text_col: str = "text", cfg: MaskConfig = MaskConfig()) -> DataFrame:
     """A row an occurrence: the other columns of df, and ord, cat, value, placeholder, error.
 

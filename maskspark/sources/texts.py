@@ -37,6 +37,16 @@ def report(masked: DataFrame) -> DataFrame:
     return masked.select(F.explode(categories(F.col("text"))).alias("cat")).groupBy("cat").agg(F.count("*").alias("n"))
 
 
+def file_report(masked: DataFrame) -> DataFrame:
+    """A row a file of mask_files(): path, out_path, counts by category, n in all, error, and at_risk.
+
+    At risk is a file that was refused, or whose text holds more placeholders than were put there: some stood in it before.
+    """
+    n = F.aggregate(F.map_values(F.coalesce("mask_counts", F.create_map().cast("map<string,int>"))), F.lit(0), lambda a, b: a + b)
+    at_risk = F.col("mask_error").isNotNull() | F.coalesce(F.size(categories(F.col("text"))) > n, F.lit(False))
+    return masked.select("path", "out_path", F.col("mask_counts").alias("counts"), n.alias("n"), F.col("mask_error").alias("error"), at_risk.alias("at_risk"))
+
+
 def preview(df: DataFrame, text_col: str = "text", cfg: MaskConfig = MaskConfig()) -> DataFrame:
     """df with masked and restored beside the text, and the counts."""
     from maskspark.operators.documents import mask_column

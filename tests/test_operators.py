@@ -232,6 +232,9 @@ def test_text_files(spark, tmp_path):
     row = texts.mask_files(spark, str(tmp_path / "a.txt")).first()
     assert row.text == "[REDACTED_EMAIL_1]\r\nx\r\n" and row.out_path.endswith("a.redacted.txt")
     masked = texts.mask_files(spark, str(tmp_path / "a.txt"))
+    (tmp_path / "b.txt").write_text("[REDACTED_KEY_1] a@b.org")
+    both = documents.union_cells(masked, texts.mask_files(spark, str(tmp_path / "b.txt")).drop("mask_changed"))
+    assert sorted((r.out_path.rpartition("/")[2], r.counts, r.n, r.at_risk) for r in texts.file_report(both).collect()) == [("a.redacted.txt", {"email": 1}, 1, False), ("b.redacted.txt", {"email": 1}, 1, True)]
     assert texts.report(masked).collect()[0].n == 1
     assert texts.write(masked).first().written and (tmp_path / "a.redacted.txt").read_bytes() == b"[REDACTED_EMAIL_1]\r\nx\r\n"
     assert not texts.write(masked).first().written  # a file that is there is left alone
