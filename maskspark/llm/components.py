@@ -71,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     def shrunk(edges: DataFrame, most: int) -> DataFrame:
         """`edges`, `most` at most, with HELD or more to a task: the last rounds of any graph are one of these."""
-        return cut(edges.coalesce(most // HELD + 1).mapInArrow(_stars, "u long, v long").distinct())
+        return cut(edges.coalesce(most // HELD + 1).mapInArrow(_stars, "u long, v long").distinct(), free=False)
 
     left = shrunk(given.where("u <> v"), given.count())
     maps: list[DataFrame] = []
@@ -79,7 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rank = F.lit(0).cast("long") if len(maps) % 2 == 0 else None
         ranked = lambda c: F.struct((F.xxhash64(F.lit(len(maps)), F.col(c)) if rank is None else rank).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
         both = left.unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.groupBy("u").agg(F.min(ranked("v")).alias("next")).select(F.col("u").alias("node"), F.least("next", ranked("u"))["node"].alias("to")))
+        step = cut(both.groupBy("u").agg(F.min(ranked("v")).alias("next")).select(F.col("u").alias("node"), F.least("next", ranked("u"))["node"].alias("to")), free=False)
         maps.append(step)
         u = step.select(F.col("node").alias("u"), F.col("to").alias("u2"))
         v = step.select(F.col("node").alias("v"), F.col("to").alias("v2"))

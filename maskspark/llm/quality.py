@@ -137,13 +137,13 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """
     dims = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) * _HALF + 0.5).alias("bin")) for i, x in enumerate(_X)])).alias("v")
     counts = vectors.select("g", dims).groupBy("g", "v.dim", "v.bin").agg(F.count("*").alias("n")).withColumn("var", F.lit(0.0))
-    model = cut(counts.groupBy("g").applyInPandas(_first, _MODEL))
+    model = cut(counts.groupBy("g").applyInPandas(_first, _MODEL), free=False)  # a row a group, as all that follow
     groups = model.count()
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)] + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS]
     bins = F.floor(F.log2(_distance() + 2.0**-20) * _BIN).cast("int")
     for _ in range(STEPS):
         by_bin = _with_model(vectors, model.select("g", "start", "mean", "inverse"), groups).groupBy("g", "start", bins.alias("bin")).agg(F.count("*").alias("n"), *sums)
-        model = cut(by_bin.groupBy("g", "start").applyInPandas(_step, _MODEL))
+        model = cut(by_bin.groupBy("g", "start").applyInPandas(_step, _MODEL), free=False)
     best = model.groupBy("g").agg(F.min(F.struct("logdet", "start", "scale", "mean", "inverse")).alias("m"))
     return best.select("g", "m.scale", "m.mean", "m.inverse")
 

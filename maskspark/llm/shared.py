@@ -44,17 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(where)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = True) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder; earlier shuffle files can then go.
 
     The cleaner removes shuffle and checkpoint files of frames that nothing refers to any more, but only
-    once the JVM has noticed, hence the two collections.
+    once the JVM has noticed, hence the two collections; without `free`, for small frames, that is left to later.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     del df
-    release(spark)
+    if free:
+        release(spark)
     return out
 
 
