@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from maskspark.llm.shared import positional
 
-#: Distinct words that a worker remembers before it starts afresh: bounds its memory, has no influence on results.
-CACHE = 500_000
+#: Characters of words, ids and tokens, a constant for each word included, that a worker remembers before it starts afresh:
+#: bounds its memory, has no influence on results.
+CACHE, _ENTRY = 96 << 20, 256
 
 #: Texts of these characters alone are cut into words here; all others by the library's normaliser and pre-tokeniser.
 #: Each of them is its own NFC form and lower-cases to one character.
@@ -46,6 +47,20 @@ _LETTERS = _byte_letters()
 #: A pair of ids as one integer.
 _SHIFT = 20
 
+#: How the vocabulary files that are read here normalise texts and cut them into words.
+_NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+_CUTS = [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), ("ByteLevel", None)]
+
+
+def of_this_make(spec: dict) -> bool:
+    """Whether a vocabulary file is one whose words and merges are done here; others are left to the library."""
+    steps = lambda part, name: [(x["type"], x.get("pattern", {}).get("Regex")) for x in (part or {}).get(name, [])]
+    model = spec["model"]
+    plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback", "unk_token"))
+    marks = [t for t in spec.get("added_tokens", []) if any(t.get(x) for x in ("lstrip", "rstrip", "single_word")) or not t["content"].startswith("<|")]
+    same = steps(spec.get("normalizer"), "normalizers") == _NORMAL and steps(spec.get("pre_tokenizer"), "pretokenizers") == _CUTS
+    return model["type"] == "BPE" and plain and same and not marks and spec.get("decoder") is None and len(model["vocab"]) < 1 << _SHIFT
+
 
 class PairIndex:
     """Merges of a vocabulary, applied to many words together."""
@@ -118,8 +133,10 @@ class Codec:
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pairs = PairIndex(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.pieces = pieces(path)
+        self.own = of_this_make(spec)
+        self.pairs = PairIndex(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if self.own else None
+        self.pieces = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()} if self.own else {}
+        self.held = 0
         # by word: ids in decimal and pieces, each joined by a space
         self.written: dict[str, str] = {}
         self.read: dict[str, str] = {}
@@ -127,9 +144,14 @@ class Codec:
         gc.set_threshold(200_000, 50, 100)
 
     def cut(self, text: str | None) -> list[str]:
-        """The words of a text, as normaliser and pre-tokeniser give them; special tokens stand as they are."""
+        """The words of a text, as normaliser and pre-tokeniser give them; special tokens stand as they are.
+
+        With a file of another make, the whole text.
+        """
         if not text:
             return []
+        if not self.own:
+            return [text]
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return _WORDS.findall(text.lower())
         out: list[str] = []
@@ -143,24 +165,35 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that were not met before, all in one go."""
-        if len(self.written) > CACHE:
+        if self.held > CACHE:
             self.written.clear(), self.read.clear()
-        new = list(words - self.written.keys())
-        # "\0" marks a word that is in byte letters already
-        for w, ids in zip(new, self.pairs.encode([w[1:] if w[0] == "\0" else w if w.isascii() else w.translate(_LETTERS) for w in new]), strict=True):
-            if w in self.special:
-                ids = [self.special[w]]
+            self.held = 0
+        new = [w for w in words if w not in self.written]
+        if self.own:
+            # "\0" marks a word that is in byte letters already
+            found = self.pairs.encode([w[1:] if w[0] == "\0" else w if w.isascii() else w.translate(_LETTERS) for w in new])
+            found = [[self.special[w]] if w in self.special else ids for w, ids in zip(new, found, strict=True)]
+        else:
+            found = [x.ids for x in self.library.encode_batch(new, add_special_tokens=False)]
+        for w, ids in zip(new, found, strict=True):
             self.written[w] = " ".join(map(str, ids))
-            self.read[w] = " ".join([self.pieces[i] for i in ids])
+            self.read[w] = self.decode(ids)
+            self.held += _ENTRY + len(w) + len(self.written[w]) + len(self.read[w])
 
     def ids(self, words: list[str]) -> np.ndarray:
         """The ids of a text of these words, all of them learned."""
         written = " ".join(filter(None, map(self.written.__getitem__, words)))
         return np.array(written.split(" ") if written else [], np.int32)
 
+    def text(self, words: list[str]) -> str:
+        """What the ids of a text of these words decode to, all of them learned."""
+        return " ".join(filter(None, map(self.read.__getitem__, words)))
+
     def decode(self, ids: list[int]) -> str:
-        """As a vocabulary without a decoder of its own reads: tokens joined by a space."""
-        return " ".join([self.pieces[i] for i in ids])
+        """As a vocabulary without a decoder of its own reads: tokens joined by a space; ids that it lacks are left out."""
+        if not self.own:
+            return self.library.decode(ids, skip_special_tokens=False)
+        return " ".join([self.pieces[i] for i in ids if i in self.pieces])
 
 
 _codecs: dict[str, Codec] = {}
@@ -172,18 +205,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-_pieces: dict[str, dict[int, str]] = {}
-
-
-def pieces(path: str) -> dict[int, str]:
-    """The text of each id, special tokens included; one a worker."""
-    if path not in _pieces:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        _pieces[path] = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
-    return _pieces[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -200,6 +221,15 @@ def _by_text(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[tuple[pa
             yield batch.slice(at, 256), cuts
 
 
+def _ids(own: Codec, cuts: list[list[str]]) -> pa.Array:
+    ids = [own.ids(words) for words in cuts]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32)), pa.array(np.concatenate(ids)))
+
+
+def _fields(docs: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema)
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with `out_col` array<int>: the ids of each whole text, as the library encodes without special tokens of its own.
 
@@ -213,32 +243,50 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for rows, cuts in _by_text(batches, own):
-            ids = [own.ids(words) for words in cuts]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _ids(own, cuts)], names=[*names, out_col])
 
     wide = docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return wide.mapInArrow(run, f"{fields}, `{out_col}` array<int>")
+    return wide.mapInArrow(run, f"{_fields(docs, names)}, `{out_col}` array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """encoded with `out_col`: the text of each list of ids, special tokens kept. Null lists give null."""
+    """encoded with `out_col`: the text of each list of ids, special tokens kept.
+
+    Null lists give null, empty ones an empty text; null ids and ids that the vocabulary lacks are left out, as in the
+    library; a column `out_col` that is there already is replaced; other columns pass through. No rows give no rows.
+    """
     path = path or default_path()
     names = [c for c in encoded.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = pieces(path)
+        own = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):  # ids as Python numbers take ten times their room
                 rows = batch.slice(at, 128)
-                texts = [None if ids is None else " ".join([read[i] for i in ids]) for ids in rows.column(rows.num_columns - 1).to_pylist()]
+                texts = [None if ids is None else own.decode([i for i in ids if i is not None]) for ids in rows.column(rows.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names=[*names, out_col])
 
     wide = encoded.select(*positional(encoded, names), F.col(f"`{ids_col}`").alias("ids"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
-    return wide.mapInArrow(run, f"{fields}, `{out_col}` string")
+    return wide.mapInArrow(run, f"{_fields(encoded, names)}, `{out_col}` string")
+
+
+def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs with the ids of each whole text in place of the text, and what they decode to: encode() and decode() in one pass.
+
+    Nulls, special tokens, repeated rows and columns of the same names are as in these two; a null text gives an empty list
+    and an empty text. No rows give no rows.
+    """
+    path = path or default_path()
+    names = [c for c in docs.columns if c not in (text_col, ids_col, out_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for rows, cuts in _by_text(batches, own):
+            texts = pa.array([own.text(words) for words in cuts], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _ids(own, cuts), texts], names=[*names, ids_col, out_col])
+
+    wide = docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return wide.mapInArrow(run, f"{_fields(docs, names)}, `{ids_col}` array<int>, `{out_col}` string" if names else f"`{ids_col}` array<int>, `{out_col}` string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -253,7 +301,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 written = " ".join(filter(None, map(own.written.__getitem__, words)))
                 counts.append(written.count(" ") + 1 if written else 0)
                 ids.append(hashlib.sha256(written.encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join(filter(None, map(own.read.__getitem__, words))).encode()).hexdigest())
+                texts.append(hashlib.sha256(own.text(words).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
