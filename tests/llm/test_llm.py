@@ -507,6 +507,54 @@ def test_jaccard_families(spark, monkeypatch, limits):
     assert got == brute_groups(rows)
 
 
+def near_families(n=240):
+    """Texts of long families that share most columns and just fail to link, or just link."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(300), 3 + i % 2):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{"DENSE": 0}, {"DENSE": 2, "BLOCK_ROWS": 10, "_SMALL": 4}, {"BLOCK_ROWS": 10}])
+def test_jaccard_pairs_met(spark, monkeypatch, limits):
+    """Each link is met, whether a block sends its pairs or its rows, and however blocks are split."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_families(120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_jaccard_sent_once(spark, monkeypatch):
+    """A pair that shares many columns is multiplied in one of their blocks, not in each."""
+    n, real = spark.sparkContext.accumulator(0), jaccard._across
+
+    def counting(t):
+        inner = real(t)
+
+        def run(batches):
+            def counted():
+                for b in batches:
+                    n.add(b.num_rows)
+                    yield b
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_across", counting)
+    words = [[f"{k}w{i}" for i in range(300)] for k in range(20)]
+    rows = [(2 * k + j, " ".join(f"x{i}" if j and i % 40 == 20 else x for i, x in enumerate(w))) for k, w in enumerate(words) for j in range(2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert 0 < n.value <= len(rows)
+
+
 def test_bounds():
     rng = np.random.default_rng(2)
     for _ in range(200):
