@@ -609,10 +609,10 @@ def links_of(x):
         yield from ((a, b) for a, b in zip((i + at).tolist(), j.tolist()) if a < b)
 
 
-def found_links(spark, x, odd=()):
+def found_links(spark, x, odd=(), **options):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).repartition(4)
-    return df, forest.near_duplicates(df).collect()
+    return df, forest.near_duplicates(df, **options).collect()
 
 
 @pytest.mark.parametrize("part", [2048, 20])
@@ -636,6 +636,27 @@ def test_forest(spark, monkeypatch, part):
     assert forest.near_duplicates(df.where("false")).count() == 0 and forest.near_duplicates(df.where("vec_id = 1000")).count() == 1
 
 
+@pytest.mark.parametrize("dim, part", [(64, 8192), (64, 100), (3, 8192), (3, 50)])
+def test_forest_exact(spark, monkeypatch, dim, part):
+    """Every link, by brute force, in chains of vectors that lie at the threshold; where trees can split and where they cannot."""
+    monkeypatch.setattr(forest, "PART", part)
+    monkeypatch.setattr(forest, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(400, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    steps = rng.normal(size=(4, 400, dim))
+    steps *= 0.31 / np.linalg.norm(steps, axis=2, keepdims=True)
+    x = np.concatenate([centres, *(centres + np.cumsum(steps, axis=0))])
+    true = Counter(i for pair in links_of(x) for i in pair)
+    got = {r.vec_id: r.n_links for r in found_links(spark, x, trees=1)[1]}
+    assert got == {i: true[i] for i in range(len(x))} and true.total() > 1000
+    narrow = {r.vec_id: r.n_links for r in found_links(spark, x, trees=1, exact=False)[1]}
+    assert all(narrow[i] <= true[i] for i in narrow) and (dim == 3 or sum(narrow.values()) < true.total())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cells = forest.ExactTree(0, dim, 8, 0.95).fit(u[:500]).cells(u)
+    assert (len(cells) > 4) == (dim == 3)
+
+
 def test_forest_recall(spark):
     """With production constants over 50,000 vectors: nine in ten links at least, by brute force, in clusters that lie near the threshold."""
     rng = np.random.default_rng(7)
