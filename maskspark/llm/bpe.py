@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import positional
+from maskspark.llm.shared import kept, lean, positional
 
 #: Characters of words, ids and tokens, a constant for each word included, that a worker remembers before it starts afresh:
 #: bounds its memory, has no influence on results.
@@ -196,7 +196,7 @@ class Codec:
         return " ".join([self.pieces[i] for i in ids if i in self.pieces])
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = kept("bpe")
 
 
 def codec(path: str) -> Codec:
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _ids(own, cuts)], names=[*names, out_col])
 
     wide = docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return wide.mapInArrow(run, f"{_fields(docs, names)}, `{out_col}` array<int>")
+    return wide.mapInArrow(lean(run, "bpe"), f"{_fields(docs, names)}, `{out_col}` array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -267,7 +267,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names=[*names, out_col])
 
     wide = encoded.select(*positional(encoded, names), F.col(f"`{ids_col}`").alias("ids"))
-    return wide.mapInArrow(run, f"{_fields(encoded, names)}, `{out_col}` string")
+    return wide.mapInArrow(lean(run, "bpe"), f"{_fields(encoded, names)}, `{out_col}` string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -286,7 +286,7 @@ def round_trip(docs: DataFrame, path: str | None = None, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _ids(own, cuts), texts], names=[*names, ids_col, out_col])
 
     wide = docs.select(*positional(docs, names), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return wide.mapInArrow(run, f"{_fields(docs, names)}, `{ids_col}` array<int>, `{out_col}` string" if names else f"`{ids_col}` array<int>, `{out_col}` string")
+    return wide.mapInArrow(lean(run, "bpe"), f"{_fields(docs, names)}, `{ids_col}` array<int>, `{out_col}` string" if names else f"`{ids_col}` array<int>, `{out_col}` string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -307,4 +307,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(lean(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskspark.llm.components import components, roots
-from maskspark.llm.shared import WordHashes, as_bytes, cut, partitions, signed, unused, windows
+from maskspark.llm.shared import WordHashes, as_bytes, cut, lean, partitions, signed, unused, windows
 
 #: Similarity as a fraction, and words in a shingle.
 THRESHOLD = (80, 100)
@@ -396,12 +396,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_blocks = partitions(docs.sparkSession)
-    counted = cut(slim.mapInArrow(_classes(width), "doc_id long, n long, cls long, tok long"))
+    counted = cut(slim.mapInArrow(lean(_classes(width)), "doc_id long, n long, cls long, tok long"))
     own = counted.where("tok is null").select("doc_id", "n", "cls")
     hot, rank = _frequent(counted, own.count())
     classes = cut(own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
 
-    rows = slim.mapInArrow(_columns(width, threshold, hot, rank), "tok long, cls long, n int, hot int")
+    rows = slim.mapInArrow(lean(_columns(width, threshold, hot, rank)), "tok long, cls long, n int, hot int")
     dealt = rows.withColumn("salt", F.when(F.col("hot") > 0, F.pmod(F.xxhash64("cls"), F.lit(SALT))).otherwise(0)).repartition(n_blocks, "tok", "salt")
     once = dealt.groupBy("tok", "salt", "cls").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
     often = F.when(F.col("hot") > 0, F.lit(1 << 40) + F.col("hot")).otherwise(F.count("*").over(Window.partitionBy("tok", "salt")))
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
 
     ids = cells.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
     texts = slim.join(ids.select(F.col("rep").alias("__rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    sets = texts.mapInArrow(_whole(width), "cls long, sketch binary, elements binary").join(ids.select("cls"), "cls", "left_semi")
+    sets = texts.mapInArrow(lean(_whole(width)), "cls long, sketch binary, elements binary").join(ids.select("cls"), "cls", "left_semi")
     sets = cut(sets.groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("elements").alias("elements")))
 
     edges = None
@@ -422,7 +422,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
         sizes = pick.groupBy("tok").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1").select("tok", _salt(F.col("m"), F.col("size")).alias("parts"))
         placed = pick.join(sizes, "tok").select("tok", F.pmod(F.xxhash64(F.lit(turn), "cls"), F.col("parts")).cast("int").alias("salt"), "cls")
         blocks = placed.join(sets.select("cls", "elements"), "cls").select("tok", "salt", "cls", "elements").repartition(n_blocks, "tok", "salt").sortWithinPartitions("tok", "salt")
-        links = blocks.mapInArrow(_families(threshold), "a long, b long")
+        links = blocks.mapInArrow(lean(_families(threshold)), "a long, b long")
         edges = links if edges is None else edges.unionAll(links)
     edges = cut(edges)
 
@@ -435,14 +435,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
     placed = still.select("tok", "cls", "n", "comp", "parts", "side", other).select("tok", block, "side", "cls", "comp", "n")
     wide = placed.join(sets.select("cls", "sketch"), "cls").select(*placed.columns, "sketch")
     fields = "a long, b long, tok long, block int, side_a int, comp_a long, side_b int, comp_b long"
-    met = wide.repartition(n_blocks, "tok", "block").sortWithinPartitions("tok", "block").mapInArrow(_met(threshold), fields)
+    met = wide.repartition(n_blocks, "tok", "block").sortWithinPartitions("tok", "block").mapInArrow(lean(_met(threshold)), fields)
     # a pair that shares many columns is multiplied in one of their blocks only
     once = F.min(F.struct(F.xxhash64("tok").alias("h"), *[c for c in met.columns if c not in "ab"])).alias("x")
     met = met.groupBy("a", "b", F.when(F.col("a") == F.col("b"), F.struct("tok", "block")).alias("dense")).agg(once).select("a", "b", "x.*")
     ends = F.array(*[F.struct("tok", "block", F.col(f"side_{x}").alias("side"), F.col(x).alias("cls"), F.col(f"comp_{x}").alias("comp")) for x in "ab"])
     placed = met.select(F.explode(ends).alias("x")).select("x.*").distinct()
     blocks = placed.join(sets.select("cls", "elements"), "cls").select("tok", "block", "side", "cls", "comp", "elements").repartition(n_blocks, "tok", "block").sortWithinPartitions("tok", "block")
-    edges = cut(edges.unionAll(blocks.mapInArrow(_across(threshold), "a long, b long")))
+    edges = cut(edges.unionAll(blocks.mapInArrow(lean(_across(threshold)), "a long, b long")))
 
     found = components(edges)
     groups = classes.join(found.select(F.col("node").alias("cls"), "component_id"), "cls", "left").select("cls", "rep", F.coalesce("component_id", "cls").alias("comp"))

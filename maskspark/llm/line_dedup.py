@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import as_bytes, cut, partitions, positional, signed
+from maskspark.llm.shared import as_bytes, cut, lean, partitions, positional, signed
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -117,9 +117,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     """(doc_id, tag, pos) of every line that goes; tag is the CRC-32 of the document's text."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = partitions(docs.sparkSession)
-    lines = slim.mapInArrow(_lines(min_chars), "h long, doc_id long, tag long, pos int")
+    lines = slim.mapInArrow(lean(_lines(min_chars)), "h long, doc_id long, tag long, pos int")
     order = ("h", "doc_id", "tag", "pos")
-    found = lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_documents), "h long, doc_id long, tag long, pos int, open boolean")
+    found = lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lean(_stream(min_documents)), "h long, doc_id long, tag long, pos int, open boolean")
     found = cut(found)
     # Runs that a partition's end cut in two: two at most a partition and one for each run longer than a batch.
     held = found.where("open").select("h", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").alias("doc"))
@@ -155,7 +155,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     """
     gone = dropped_lines(docs, min_chars, min_documents, id_col, text_col)
     lists = gone.distinct().groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("positions"))
-    return lists.mapInArrow(_to_bitmaps, "doc_id long, tag long, upto int, n_dropped long, keep binary")
+    return lists.mapInArrow(lean(_to_bitmaps), "doc_id long, tag long, upto int, n_dropped long, keep binary")
 
 
 def _applied(text_at: int, upto_at: int, keep_at: int, names: list[str]):
@@ -187,7 +187,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     names = docs.columns
     id_at, text_at = names.index(id_col), names.index(text_col)
     wide = with_bitmaps(docs.select(*positional(docs, names)), bitmaps, f"c{id_at}", f"c{text_at}").drop("__n_dropped")
-    return wide.mapInArrow(_applied(text_at, wide.columns.index("__upto"), wide.columns.index("__keep"), names), docs.schema)
+    return wide.mapInArrow(lean(_applied(text_at, wide.columns.index("__upto"), wide.columns.index("__keep"), names)), docs.schema)
 
 
 def digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(n_lines, pa.int64()), batch.column(3).fill_null(0), pa.array(shas)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"]
             )
 
-    return wide.select("doc_id", "text", "__upto", "__n_dropped", "__keep").mapInArrow(hashed, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return wide.select("doc_id", "text", "__upto", "__n_dropped", "__keep").mapInArrow(lean(hashed), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskspark.llm.shared import WordHashes, cut, windows
+from maskspark.llm.shared import WordHashes, cut, lean, windows
 
 MIN_WORDS = 10
 #: Per cent of words in repeated windows of REPEAT words that a document may have.
@@ -165,7 +165,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), _group(lang_col, source_col).alias("g"), F.col(text_col).cast("string").alias("text"))
     fields = "doc_id long, g string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{x} double" for x in _X)
-    rows = cut(slim.mapInArrow(_vectors, fields))
+    rows = cut(slim.mapInArrow(lean(_vectors), fields))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     model = cut(estimates(rows.where("not base_failed")))
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     fields = "g string, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{x} double" for x in _X)
     slim = docs.select(_group(lang_col, source_col).alias("g"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(slim.mapInArrow(_vectors, fields))
+    rows = cut(slim.mapInArrow(lean(_vectors), fields))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     model = cut(estimates(rows.where(~failed)))
     groups = model.count()
@@ -194,7 +194,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
     wide = moved.withColumn("g", _group(at[lang_col], at[source_col])).withColumn("__text", F.col(at[text_col]).cast("string"))
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    judged = wide.mapInArrow(_vectors, f"{kinds}, {fields}")
+    judged = wide.mapInArrow(lean(_vectors), f"{kinds}, {fields}")
     judged = judged.where(~failed).join(F.broadcast(model) if groups <= BROADCAST_GROUPS else model, "g")
     good = judged.where(_distance() / F.col("scale") <= chi2_quantile(_P, TAIL_Z))
     return good.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -733,6 +733,14 @@ def test_bpe(spark, docs, clashing, rows):
 # ---- 10
 
 
+def test_lean_workers():
+    """A worker that goes over to another operator lets go of the vocabulary, and holds it for its own."""
+    passed = lambda owner: list(shared.lean(iter, owner)([1, 2]))
+    bpe.codec(bpe.default_path())
+    assert passed("bpe") == [1, 2] and len(bpe._codecs) == 1
+    assert passed("") == [1, 2] and not bpe._codecs
+
+
 def test_licenses(spark, docs, clashing):
     mit = licenses.KNOWN[0][1]
     texts = ["Copyright (c) 2020 A\n\n" + mit.upper(), "# " + mit.replace("license", "licence").replace(",", " ,"), "Released under the MIT LICENCE!", mit + " and more", None, "", "...", "© 2021 by B\nlicensed under cc by-nc 4.0"]
