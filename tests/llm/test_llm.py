@@ -555,6 +555,41 @@ def test_jaccard_sent_once(spark, monkeypatch):
     assert 0 < n.value <= len(rows)
 
 
+@pytest.mark.parametrize("small", [4, 32])
+def test_jaccard_rows_made(spark, monkeypatch, small):
+    """Groups whose pairs share most columns and just fail to link: their blocks send on rows, fewer than they were given."""
+    monkeypatch.setattr(jaccard, "_SMALL", small)
+    given, made, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), jaccard.lean
+
+    def counting(run):
+        def both(batches):
+            of_pairs = []
+
+            def counted():
+                for b in batches:
+                    of_pairs.append({"tok", "sketch"} <= set(b.schema.names))
+                    given.add(b.num_rows * of_pairs[-1])
+                    yield b
+
+            for b in run(counted()):
+                made.add(b.num_rows * of_pairs[-1])
+                yield b
+
+        return real(both)
+
+    monkeypatch.setattr(jaccard, "lean", counting)
+    rows = []
+    for k in range(12):
+        for i in range(16):
+            w = [f"{k}w{x}" for x in range(300)]
+            for x in (18 * i, 18 * i + 2, 18 * i + 7, 18 * i + 12):
+                w[x + 5] = f"x{i}"
+            rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+    assert 0 < made.value < given.value
+
+
 def test_bounds():
     rng = np.random.default_rng(2)
     for _ in range(200):
