@@ -18,10 +18,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,6 +141,8 @@ def default_path() -> str:
 
 #: Distinct pieces of text that a worker remembers before it starts afresh.
 CACHE = 600_000
+#: Bytes of texts that are cut into pieces together, one text at least.
+SLICE = 4 << 20
 _libraries: dict[str, object] = {}
 
 
@@ -152,18 +156,22 @@ def _library(path: str):
     return _libraries[path]
 
 
-#: Texts of these characters are cut into pieces here, others only before a space that follows a printable character.
-_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-#: The pieces of the byte-level pattern, for texts of those characters.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t\n\r0-9A-Za-zÀ-ÖØ-öø-ÿ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: Kinds of bytes in texts that are cut into pieces here: letters (of Latin-1, in UTF-8), digits, other signs, space, and what
+#: the library cuts.
+_LETTER, _DIGIT, _SIGN, _SPACE, _FOREIGN = range(5)
+_KINDS = np.full(256, _FOREIGN, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[[9, 10, 13, 32]] = _SPACE
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _KINDS[128:192] = _KINDS[0xC3] = _LETTER
+#: Other texts are cut only before a space that follows a printable character.
 _CUT = re.compile("(?<=[!-~À-ÖØ-öø-ÿ])(?= )")
 
 
 def _byte_letters() -> dict[int, str]:
-    """Characters up to U+00FF as byte-level vocabularies write them: a printable character for each byte of their UTF-8."""
+    """Bytes as byte-level vocabularies write them, a printable character for each."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    names = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
 _LETTERS = _byte_letters()
@@ -177,6 +185,56 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (without nulls), one after the other, and their bounds there."""
+    texts = texts.cast(pa.large_binary())
+    _, bounds, data = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def _foreign(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the texts have a character that is not cut here, or may have a special token (also one that begins where the text before ends)."""
+    bad = _KINDS[data] == _FOREIGN
+    # multiplication and division signs are no letters
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    bad[1:] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    out = np.zeros(len(bounds) - 1, bool)
+    out[np.searchsorted(bounds, np.flatnonzero(bad), side="right") - 1] = True
+    return out
+
+
+def _piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces of the byte-level pattern start: 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?digits| ?signs|spaces(?!other)|spaces."""
+    kinds = _KINDS[data]
+    firsts = np.unique(bounds[:-1][bounds[:-1] < bounds[1:]])
+    starts = np.empty(len(data), bool)
+    starts[:1] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+    space = kinds == _SPACE
+    # the last of the spaces before another character of the same text starts a piece, which goes on after U+0020
+    last = space[:-1] > space[1:]
+    last[firsts[1:] - 1] = False
+    starts[:-1] |= last
+    starts[1:] &= ~(last & (data[:-1] == 32))
+    starts[firsts] = True
+    marks = np.flatnonzero(data == ord("'"))
+    if len(marks):
+        first = np.ones(len(data) + 3, bool)  # of a text, or past the end
+        first[: len(data)] = False
+        first[firsts] = True
+        after = np.r_[data, np.zeros(3, np.uint8)]
+        marks = marks[starts[marks] & ~first[marks + 1]]
+        one, two = after[marks + 1], after[marks + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ~first[marks + 2] & ((np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+        starts[marks[short | long] + 1] = False
+        ends = np.r_[marks[short] + 2, marks[long] + 3]
+        starts[ends[ends < len(data)]] = True
+    return np.flatnonzero(starts)
+
+
 class Encoder:
     """The library's encoding of whole texts; pieces that it always encodes alike are encoded once.
 
@@ -196,33 +254,78 @@ class Encoder:
             and all(t.startswith("<|") and " " not in t for t in self.specials) and not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("lstrip", "rstrip", "single_word"))
         )
 
-    def cut(self, text: str) -> tuple[bool, list[str]]:
-        """Whether the text is plain, and its pieces: those of the pattern if it is, else runs of them."""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            return True, _PIECES.findall(text)
-        return False, _CUT.split(text) if text else []
+    def _by_pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts without foreign characters: each distinct piece of them is looked up once, and merged where it is new."""
+        starts = _piece_starts(data, bounds)
+        every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)]), pa.py_buffer(data)]).dictionary_encode()
+        merged, known, found = self.library.model.tokenize, self.known, []
+        for piece in every.dictionary.to_numpy(zero_copy_only=False).tolist():
+            ids = known.get(piece)
+            if ids is None:
+                word = piece.decode("latin-1")
+                # of a piece that ends in a printable character, only U+0020 in front is written otherwise
+                word = word.replace(" ", _LETTERS[32]) if word[-1] > " " and word.isascii() else word.translate(_LETTERS)
+                ids = known[piece] = array("I", [token.id for token in merged(word)]).tobytes()
+            found.append(ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = every.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(np.r_[0, counts])
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(found), np.uint32)[places], np.diff(ends[np.searchsorted(starts, bounds)])
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of any texts: in runs of pieces, or as wholes where the vocabulary file is of another make."""
+        if self.by_piece:
+            cuts, known = [_CUT.split(t) for t in texts], self.known
+            rest = [p for p in set().union(*cuts) if p.encode() not in known]
+            for piece, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+                known[piece.encode()] = array("I", found.ids).tobytes()
+            ids = [b"".join([known[p.encode()] for p in c]) for c in cuts]
+        else:
+            ids = [array("I", found.ids).tobytes() for found in self.library.encode_batch(texts, add_special_tokens=False)]
+        return np.frombuffer(b"".join(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each; of a null none. Texts that are no UTF-8 are an error."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        texts = texts.fill_null("")
+        texts.validate(full=True)
+        data, bounds = _joined(texts)
+        foreign = _foreign(data, bounds) if self.by_piece else np.ones(len(texts), bool)
+        if not foreign.any():
+            return self._by_pieces(data, bounds)
+        ids, counts = self._by_library(texts.filter(pa.array(foreign)).to_pylist())
+        if foreign.all():
+            return ids, counts
+        more, sizes = self._by_pieces(*_joined(texts.filter(pa.array(~foreign))))
+        every = np.empty(len(texts), np.int64)
+        every[foreign], every[~foreign] = counts, sizes
+        out, own = np.empty(len(ids) + len(more), np.uint32), np.repeat(foreign, every)
+        out[own], out[~own] = ids, more
+        return out, every
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        if not self.by_piece:
-            return [np.array(found.ids, "<u4").tobytes() for found in self.library.encode_batch(texts, add_special_tokens=False)]
-        cuts, known = [self.cut(t) for t in texts], self.known
-        if len(known) > CACHE:
-            known.clear()
-        merged = self.library.model.tokenize
-        for piece in set().union(*[c for plain, c in cuts if plain]):
-            if piece not in known:
-                known[piece] = b"".join([token.id.to_bytes(4, "little") for token in merged(piece.translate(_LETTERS))])
-        rest = [p for p in set().union(*[c for plain, c in cuts if not plain]) if p not in known]
-        for piece, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for _, c in cuts]
+        ids, counts = self.column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
+        return [raw[4 * s : 4 * e] for s, e in zip((ends - counts).tolist(), ends.tolist())]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row of each slice, and the number of its rows."""
+    sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE, side="right")) - 1)
+        yield at, end - at
+        at = end
 
 
 def _written(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names, ids, held, place, seq = encoder(path), [], [], 0, None, 0
-        end = np.array([END], "<u4").tobytes()
 
         def part() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -231,17 +334,19 @@ def _written(path: str):
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                texts = [t or "" for t in rows.column(2).to_pylist()]
-                for p, name, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), own.encode(texts)):
+            for at, n in _slices(batch.column(2)):
+                rows = batch.slice(at, n)
+                found, counts = own.column(rows.column(2))
+                found = np.insert(found, np.cumsum(counts), END)
+                ends = np.cumsum(counts + 1).tolist()
+                for p, name, s, e in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), [0, *ends], ends):
                     if names and (p != place or held >= PART):
                         yield part()
                         names, ids, held, seq = [], [], 0, seq + 1
                     place = p
                     names.append(name)
-                    ids.append(np.frombuffer(found + end, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(found[s:e])
+                    held += e - s
         if names:
             yield part()
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,6 +457,46 @@ def test_encoder():
     assert other.encode(["One two"])[0] == np.array(Tokenizer.from_file(bpe.default_path()).encode("One two", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_encoder_by_kinds():
+    """Pieces cut by kinds of bytes, against the library: contractions, runs of spaces, borders between texts, nulls, foreign texts between."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(token_files.default_path()), token_files.Encoder(token_files.default_path())
+    rng = random.Random(12)
+    parts = ["'", "'s", "'re", "'ll", "'l", "'r", "s", "e", "l", "m", "V", "é", "À", "ß", "0", "19", ".", "!?", " ", "  ", "\n", "\t", "\r\n", " \n "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20000)] + ["it's", "we'll go", " 's", "''s", "'s's", "x ", " x"]
+    texts += [None, "", "'", "s", "'r", "e", "<", "|", "3×4", "中文 it's", "<|endoftext|>", "\x7f", "µ", None, "'ll"]
+    expected = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
+    for start, end in ((0, 20000), (0, len(texts)), (19990, len(texts) - 1), (3, 4), (5, 5)):
+        ids, counts = own.column(pa.array(texts).slice(start, end - start))
+        assert counts.tolist() == [len(x) for x in expected[start:end]] and ids.tolist() == [i for x in expected[start:end] for i in x.tolist()]
+    with pytest.raises(pa.ArrowInvalid):
+        own.column(pa.array([b"a\x80"]).view(pa.string()))
+
+
+def test_encoder_lookups():
+    """Each distinct piece of a slice of texts is looked up once, not each piece."""
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.n += 1
+            return super().get(key, default)
+
+    rng = random.Random(13)
+    words = ["".join(rng.choices("etaoinshrdlué", k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=500)) + "." for _ in range(600)]
+    own = token_files.Encoder(token_files.default_path())
+    own.known = Counted()
+    expected = [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == expected == own.encode(texts) and Counted.n <= 2 * (2 * len(words) + 1)
+
+
 # ---- 6
 
 
